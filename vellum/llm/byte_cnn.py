@@ -120,14 +120,18 @@ class Net:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], rows: int, most: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels to learn from: at most rows / 2 of each class, in the order of a hash of the id, none held out.
+    """Texts and labels to learn from: at most rows / 2 of each class, the first by a hash of the id, none held out.
 
-    held_out: (n, r) holds out the rows whose crc32(doc_id) mod n is r. Texts of more than `most` bytes are not learned from.
+    held_out: (n, r) holds out the rows whose crc32(doc_id) mod n is r. Texts of more than `most`
+    bytes are not learned from. Ids are chosen from the labels alone; they, at most `rows`, go to
+    every executor, and only their texts come to the driver.
     """
     known = labels.where(F.col(label).isin(0, 1) & (crc_mod("doc_id", held_out[0]) != held_out[1])).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
-    both = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= most).join(known.dropDuplicates(["doc_id"]), "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    got = [r for y in (0, 1) for r in both.where(F.col("y") == y).orderBy(*order).limit(rows // 2).collect()]
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for y in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= most)
+    got = texts.join(F.broadcast(parts[0].union(parts[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: (r["y"], r["doc_id"]))
     return [r["text"].encode() for r in got], np.array([r["y"] for r in got], np.float64)
 
 

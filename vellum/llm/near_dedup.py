@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, list_array, map_batches, mixed, pieces, table, texts_of, windows_hash
 from .components import linked
 
-BITS = 512
+BITS = 1024
 _HASHES = WordHashes()
 
 
@@ -96,7 +96,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "id long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, hashes: int = 192, margin: float = 0.135) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, hashes: int = 384, margin: float = 0.1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
     docs: doc_id and text; other columns are ignored. Documents are linked when
@@ -109,10 +109,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sig = table(signatures(docs, k, bands, rows, hashes), "signatures")
     whole = sig.where("digest is not null and doc_id is not null")
     first = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = whole.join(first.hint("merge"), "digest").where("doc_id = rep").select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("key"), "sketch")
-    shared = reps.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
-    buckets = table(reps.join(shared.hint("merge"), "key", "left_semi").select("key", "id", "n_shingles", "sketch"), "buckets")
+    reps = whole.join(first.hint("merge"), "digest").where("doc_id = rep")
+    spread = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    shared = spread.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
+    buckets = table(spread.join(shared.hint("merge"), "key", "left_semi").select("key", "id", "band"), "buckets")
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
+    sketches = table(reps.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sketch", F.col("bands").alias("keys")), "sketches")
     sets = table(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), k), "sets")
 
     allowed = most_bits(percent / 100, hashes, margin)
@@ -128,7 +130,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         both = pairs.join(s, "a").join(t, "b").withColumn("i", F.size(F.array_intersect("p", "q")))
         return both.where(F.col("i") * 100 >= (F.size("p") + F.size("q") - F.col("i")) * percent).select("a", "b")
 
-    comp, _ = linked(buckets, near, confirm)
+    comp, _ = linked(buckets, sketches, near, confirm)
     named = first.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
