@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,52 +17,88 @@ STRIPE_BYTES = 64 << 20
 ROWS_IN_INDEX = 10_000
 
 
+class Numbered(dict):
+    """Numbers keys as they are met."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+#: Bytes that the tokenizer never joins with an ASCII letter or digit before them.
+MARKS = b".,!?;:*$&%#"
+_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+class Words(dict):
+    """Numbers words, and splits each into its lower-cased stem and the marks that end it; piece 0 is empty."""
+
+    def __init__(self):
+        self.pieces, self.pairs = Numbered({b"": 0}), []
+
+    def __missing__(self, word: bytes) -> int:
+        low = word if b"<|" in word else word.lower()  # special tokens are told by case
+        stem = low.rstrip(MARKS)
+        if 0 < len(stem) < len(low) and stem[-1] in _ALNUM:
+            self.pairs += (self.pieces[stem], self.pieces[low[len(stem) :]])
+        else:
+            self.pairs += (self.pieces[low], 0)
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Token ids of whole texts, by way of their distinct words.
 
     The tokenizer splits at ASCII blanks before anything else, and neither its normalizer nor its
-    merges reach across them, so a text's ids are those of its words, one after the other. A
-    worker keeps the ids of up to `most` words and then starts anew.
+    merges reach across them, so a text's ids are those of its words, one after the other. Words
+    are lower-cased there too, and marks after a letter are a piece of their own, so that the
+    tokenizer need only encode distinct stems and marks. A worker keeps the ids of up to `most`
+    words and then starts anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.path, self.most, self.tokenizer = path, most, None
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        at = np.array([o[0] for o in got.offsets], np.int64)
+        joined = b" ".join(words).decode()
+        got = self.tokenizer.encode(joined, add_special_tokens=False)
         ids = np.array(got.ids, np.int32)
-        cuts = np.searchsorted(at, starts)
-        for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.known[w] = len(self.lengths)
-            self.lengths.append(b - a)
+        at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
+        # Offsets count characters; a word begins at the start and after each blank.
+        blanks = np.nonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)[0]
+        cuts = np.searchsorted(at, np.concatenate([[0], blanks + 1, [len(joined) + 1]]))
         self.parts.append(ids)
+        self.sizes.append(np.diff(cuts))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
-            self.tokenizer = Tokenizer.from_file(self.path)
-            self.known = None
+            self.tokenizer, self.known = Tokenizer.from_file(self.path), None
         if self.known is None or len(self.known) > self.most:
-            self.known, self.lengths, self.parts, self.flat = {}, [], [], None
+            self.known, self.flat, self.size, self.pairs = Words(), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 2), np.int64)
         split = [t.split() for t in texts]
-        known = self.known
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        for at in range(0, len(new), 2000):
-            self._learn(new[at : at + 2000])
-        if new or self.flat is None:
-            self.parts = [np.concatenate(self.parts)] if self.parts else [np.zeros(0, np.int32)]
-            self.flat, self.size = self.parts[0], np.array(self.lengths, np.int64)
-            self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        known, before = self.known, len(self.size)
         at = np.array([known[w] for words in split for w in words], np.int64)
+        if known.pairs:
+            self.pairs = np.concatenate([self.pairs, np.array(known.pairs, np.int64).reshape(-1, 2)])
+            known.pairs = []
+        if len(known.pieces) > before:
+            new = list(islice(known.pieces, before, None))
+            self.parts, self.sizes = [self.flat], [self.size]
+            for a in range(0, len(new), 5000):
+                self._learn(new[a : a + 5000])
+            self.flat, self.size = np.concatenate(self.parts), np.concatenate(self.sizes)
+            self.first = np.cumsum(self.size) - self.size
+        elif before == 1:
+            self.first = np.zeros(1, np.int64)
+        at = self.pairs[at].ravel()
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.cumsum([0] + [len(words) for words in split])
+        bounds = np.cumsum([0] + [2 * len(words) for words in split])
         ends = np.concatenate([[0], ends])
         return ids, ends[bounds[1:]] - ends[bounds[:-1]]
 
@@ -81,7 +118,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     def run(batches):
         encode = _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
         first = 0
-        for batch in pieces(batches, 256):
+        for batch in pieces(batches, 1024):
             ids, counts = encode(texts_of(batch.column(1)))
             ends = np.cumsum(counts)
             ids, counts = np.insert(ids, ends, end_id), counts + 1
