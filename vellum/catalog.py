@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import queries as plans
+
 
 def queries() -> dict:
-    return {}
+    return plans.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return plans.oracle_sql()
