@@ -163,7 +163,7 @@ def test_fuzzy_lines_are_those_of_all_pairs(spark):
         for n, words in fuzzy_lines.lines_of(t.encode()):
             first.setdefault(b" ".join(words), []).append((i, n))
     names = sorted(first, key=lambda x: first[x][0])
-    sims = {x: fuzzy_lines.simhashes(fuzzy_lines._HASHES(x.split()), np.array([0]))[0] for x in names if len(x.split()) >= fuzzy_lines.MIN_WORDS}
+    sims = {x: fuzzy_lines.simhashes(fuzzy_lines._HASHES(list(set(x.split()))), np.array([0]))[0] for x in names if len(set(x.split())) >= fuzzy_lines.MIN_WORDS}
     texts = list(sims)
     s = np.array([sims[x] for x in texts]).view(np.uint64)
     links = []
