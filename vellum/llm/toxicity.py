@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-An input is a word: its learned vector (by hash) beside the sum of learned vectors of the
+An input is a word: its learned value (by hash) beside the sum of the learned values of the
 character runs of its letters (4 and 5 bytes, with marks at both ends, by hash). Two gated
 recurrent layers read a window of WINDOW words in both directions, attention pools their states,
 and a logistic unit scores the window. Windows overlap by WINDOW - STEP words and cover the whole text; a
@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from .byte_cnn import sampled
 from .common import crc_mod, map_batches, pieces, texts_of
 
-WINDOW, STEP, HIDDEN, DIM = 32, 24, 6, 6
+WINDOW, STEP, HIDDEN = 32, 24, 6
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 15
 #: Labelled rows, and bytes of each, that training may use.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 12_000
+#: Texts that must hold a word or a character run for it to get a value, and the texts' worth of doubt in it.
+MIN_TEXTS, SHRINK = 3, 4
+#: Parts of the training texts; the values that a part trains on come from the others.
+FOLDS = 6
 #: Words whose inputs a worker keeps before it starts anew; longer words are read up to MOST_CHARS bytes at each end.
 MOST_WORDS, MOST_CHARS = 500_000, 24
 
@@ -58,9 +62,9 @@ class Net:
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
         f = lambda *shape, scale=0.3: r.normal(0, scale, shape).astype(np.float32)
-        self.p = {"words": f(WORD_ROWS, DIM, scale=0.05), "chars": f(CHAR_ROWS, DIM, scale=0.05), "attend": f(2 * HIDDEN), "out": f(2 * HIDDEN), "bias": np.full(1, -2, np.float32)}
+        self.p = {"words": np.zeros((WORD_ROWS, 1), np.float32), "chars": np.zeros((CHAR_ROWS, 1), np.float32), "attend": f(2 * HIDDEN), "out": f(2 * HIDDEN), "bias": np.full(1, -2, np.float32)}
         for d in "fb":
-            self.p |= {f"in_{d}": f(2 * DIM, 3 * HIDDEN), f"b_{d}": np.zeros(3 * HIDDEN, np.float32), f"rec_{d}": f(HIDDEN, 3 * HIDDEN)}
+            self.p |= {f"in_{d}": f(2, 3 * HIDDEN), f"b_{d}": np.zeros(3 * HIDDEN, np.float32), f"rec_{d}": f(HIDDEN, 3 * HIDDEN)}
         self.known: dict[bytes, int] = {}
         self.gates = None
 
@@ -103,10 +107,9 @@ class Net:
         pooled = np.einsum("tw,twh->wh", a, states)
         return pooled @ self.p["out"] + self.p["bias"][0], (states, a, pooled, mf, mb)
 
-    def gradients(self, at, mask, memory, d, uniq) -> dict:
-        """Gradients for d = dloss / dlogit of each window. uniq: what inputs() gave."""
+    def gradients(self, at, mask, memory, d, x) -> dict:
+        """Gradients for d = dloss / dlogit of each window. x: the words' inputs."""
         states, a, pooled, mf, mb = memory
-        x, rows, chars, starts = uniq
         h, p = HIDDEN, self.p
         g = {"out": pooled.T @ d, "bias": np.array([d.sum()])}
         dpool = d[:, None] * p["out"]
@@ -114,7 +117,6 @@ class Net:
         ds = a * (da - (a * da).sum(axis=0))
         g["attend"] = np.einsum("tw,twh->h", ds, states)
         dstates = a[:, :, None] * dpool + ds[:, :, None] * p["attend"]
-        dx = np.zeros_like(x)
         for name, memo, part in (("f", mf, slice(0, h)), ("b", mb, slice(h, 2 * h))):
             rec, drec = p[f"rec_{name}"], np.zeros((h, 3 * h), np.float32)
             dg = np.zeros((len(mask), mask.shape[1], 3 * h), np.float32)
@@ -135,9 +137,6 @@ class Net:
             per = np.zeros((len(x), 3 * h), np.float32)
             np.add.at(per, idx, flat)
             g[f"rec_{name}"], g[f"in_{name}"], g[f"b_{name}"] = drec, x.T @ per, per.sum(axis=0)
-            dx += per @ p[f"in_{name}"].T
-        sizes = np.diff(np.append(starts, len(chars)))
-        g["words"], g["chars"] = (rows, dx[:, :DIM]), (chars, np.repeat(dx[:, DIM:], sizes, axis=0))
         return g
 
     @staticmethod
@@ -152,8 +151,28 @@ class Net:
         mask = at < end[None, :]
         return ids[np.minimum(at, max(0, len(ids) - 1))], mask, text
 
-    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.03, seed: int = 5) -> "Net":
-        """Adam on the log loss of each text's highest window. Vectors start at the log-odds of their rows' texts."""
+    def row_values(self, held: list, labels: np.ndarray, use: np.ndarray) -> dict[str, np.ndarray]:
+        """Each row's value: the log-odds of toxic texts among those in use that hold it, shrunk where they are few."""
+        total = np.bincount(labels[use].astype(int), minlength=2)[:, None]
+        out = {}
+        for k, (name, n, scale) in enumerate((("words", WORD_ROWS, 0.5), ("chars", CHAR_ROWS, 0.1))):
+            count = np.zeros((2, n))
+            for i in np.nonzero(use)[0]:
+                if held[i]:
+                    count[int(labels[i]), held[i][k]] += 1
+            seen = count.sum(axis=0)
+            usual = SHRINK * seen / max(1, total.sum())
+            odds = np.log((count[1] + usual + 0.1) / (total[1] + SHRINK + 0.2)) - np.log((count[0] + usual + 0.1) / (total[0] + SHRINK + 0.2))
+            values = np.where(seen >= MIN_TEXTS, np.clip(odds * seen / (seen + SHRINK), -1, 4), 0) * scale
+            out[name] = values[:, None].astype(np.float32)
+        return out
+
+    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 4, batch: int = 32, steps: int = 200, rate: float = 0.03, seed: int = 5) -> "Net":
+        """Adam on the log loss of each text's highest window, `epochs` times over the texts or for `steps` batches, whichever is more.
+
+        The values of words and character runs come from the other folds' labels, so that the layers
+        learn how far to trust them on new texts; scoring uses those from all texts.
+        """
         if not len(texts) or labels.min() == labels.max():
             return self
         rng = np.random.default_rng(seed)
@@ -163,28 +182,26 @@ class Net:
         if not words:
             return self
         _, rows, chars, starts = self.inputs(words)
-        sizes = np.diff(np.append(starts, len(chars)))
-        for name, of, n in (("words", [rows[i : i + 1] for i in range(len(words))], WORD_ROWS), ("chars", np.split(chars, starts[1:]), CHAR_ROWS)):
-            count = np.full((2, n), 0.0)
-            for s, y in zip(split, labels):
-                if s:
-                    count[int(y), np.unique(np.concatenate([of[vocabulary[w]] for w in set(s)]))] += 1
-            total = np.maximum(np.bincount(labels.astype(int), minlength=2), 1)[:, None]
-            usual = 4 * count.sum(axis=0) / total.sum()
-            odds = np.log((count[1] + usual + 0.1) / (total[1] + 4.2)) - np.log((count[0] + usual + 0.1) / (total[0] + 4.2))
-            self.p[name][:, 0] = np.where(count.sum(axis=0) > 0, np.clip(odds, -1, 4), 0) * (0.5 if name == "words" else 0.1)
+        runs = np.split(chars, starts[1:])
+        held = [(np.unique(rows[[vocabulary[w] for w in set(s)]]), np.unique(np.concatenate([runs[vocabulary[w]] for w in set(s)]))) if s else None for s in split]
+        fold = rng.integers(0, FOLDS, len(texts))
+        whole = self.row_values(held, labels, np.ones(len(texts), bool))
+        others = [self.row_values(held, labels, fold != f) for f in range(FOLDS)]
         numbers = [np.array([vocabulary[w] for w in s], np.int64) for s in split]
         share = float(labels.mean())
-        weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+        weight = np.sqrt(0.5 / np.where(labels == 1, share, 1 - share))
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+        epochs = max(epochs, -(-steps * batch // len(texts)))
         for epoch in range(epochs):
             order = rng.permutation([i for i, s in enumerate(numbers) if len(s)])
-            for begin in range(0, len(order), batch):
-                some = order[begin : begin + batch]
+            batches = [(f, own[at : at + batch]) for f in range(FOLDS) for own in [order[fold[order] == f]] for at in range(0, len(own), batch)]
+            for j in rng.permutation(len(batches)):
+                f, some = batches[j]
+                self.p |= others[f]
                 ids = np.concatenate([numbers[i] for i in some])
                 own, ids = np.unique(ids, return_inverse=True)
-                x = self.inputs([words[i] for i in own])
-                gates = self.gates_of(x[0])
+                x = self.inputs([words[i] for i in own])[0]
+                gates = self.gates_of(x)
                 at, mask, text = self.laid_out(ids, [len(numbers[i]) for i in some])
                 logit, _ = self.windows(gates, at, mask)
                 rank = np.lexsort((logit, text))
@@ -195,16 +212,10 @@ class Net:
                 step += 1
                 now = rate * (1 - epoch / epochs)
                 for k, value in g.items():
-                    if isinstance(value, tuple):
-                        row, inverse = np.unique(value[0], return_inverse=True)
-                        dense = np.zeros((len(row), DIM), np.float32)
-                        np.add.at(dense, inverse, value[1])
-                        v[k][row] = 0.98 * v[k][row] + 0.02 * dense**2
-                        self.p[k][row] -= 0.3 * now * dense / (np.sqrt(v[k][row]) + 1e-4)
-                    else:
-                        m[k] = 0.9 * m[k] + 0.1 * value
-                        v[k] = 0.98 * v[k] + 0.02 * value**2
-                        self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-7)).astype(np.float32)
+                    m[k] = 0.9 * m[k] + 0.1 * value
+                    v[k] = 0.98 * v[k] + 0.02 * value**2
+                    self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-7)).astype(np.float32)
+        self.p |= whole
         return self
 
     def scores(self, texts: list[bytes], most: int = 4096) -> np.ndarray:
