@@ -40,6 +40,15 @@ DIALECT = {
     ),
     "<day>": ("to_date", "date"),
     "<days between>": ("datediff(DATE '2024-12-31', d)", "date_diff('day', d, DATE '2024-12-31')"),
+    "<trimmed>": (r"regexp_replace(coalesce(text, ''), r'^\s+|\s+$', '')", r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"),
+    "<first two words>": (
+        r"array_join(slice(regexp_extract_all(regexp_replace(lower(text), r'[^a-z\s]', ''), '[a-z]+', 0), 1, 2), ' ')",
+        r"array_to_string(regexp_extract_all(regexp_replace(lower(text), '[^a-z\s]', '', 'g'), '[a-z]+')[1:2], ' ')",
+    ),
+    "<letter words>": (r"""size(regexp_extract_all(text, r"\pL+(?:'\pL+)?", 0))""", r"len(regexp_extract_all(text, '\pL+(?:''\pL+)?'))"),
+    "<blank-cut tokens>": (r"size(regexp_extract_all(text, r'\S+', 0))", r"len(regexp_extract_all(text, '\S+'))"),
+    "<utf16 length>": ("octet_length(encode(text, 'UTF-16BE')) / 2", r"length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]'))"),
+    "<no blank before ?!>": (r"regexp_replace(text, r'\s+([?!])', '$1')", r"regexp_replace(text, '\s+([?!])', '\1', 'g')"),
     "<set numbers>": ("explode(sequence(0L, {n} - 1))", "unnest(range({n}))"),
 }
 
@@ -63,6 +72,49 @@ t AS (SELECT *, sum(n) OVER (PARTITION BY w) AS total FROM c),
 k AS (SELECT *, sum(n) OVER (PARTITION BY w) AS kept FROM t WHERE n >= 2 AND n >= 0.025 * total)
 SELECT w, lang, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, round(CAST(total AS DOUBLE) * n / kept, 6) AS share FROM k"""
 
+# A key ignores case, outer blanks and the form of the apostrophe; null is ''.
+SQL["surface_keys"] = "SELECT conv_id, turn, translate(lower(<trimmed>), '’ʼ', concat(chr(39), chr(39))) AS surface_key FROM {conversations}"
+
+# The first two words of a gloss, of the letters a-z alone.
+SQL["first_two_words"] = "SELECT conv_id, turn, <first two words> AS first_two FROM {conversations}"
+
+# Text made safe for HTML.
+SQL["html_escaped"] = """
+SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped FROM {pages}"""
+
+# German letters in their ASCII spelling.
+SQL["german_ascii"] = """
+SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue') AS folded
+FROM {documents} WHERE lang = 'de'"""
+
+# A sentence's first word loses its capital where the corpus mostly writes it small inside sentences.
+SQL["truecased_initials"] = """
+WITH c AS (SELECT * FROM <cased>),
+m AS (SELECT lower(w) AS lw, count(CASE WHEN left(w, 1) = lower(left(w, 1)) THEN 1 END) AS low, count(CASE WHEN left(w, 1) <> lower(left(w, 1)) THEN 1 END) AS cap FROM c WHERE pos > 0 GROUP BY lower(w))
+SELECT doc_id, spos, w AS first_word, CASE WHEN w = concat(upper(left(w, 1)), lower(substring(w, 2))) AND coalesce(low, 0) >= coalesce(cap, 0) AND (coalesce(low, 0) > 0 OR coalesce(cap, 0) = 0) THEN lower(w) ELSE w END AS shown
+FROM c LEFT JOIN m ON lower(c.w) = m.lw WHERE pos = 0"""
+
+# Lengths in code points and in UTF-16 units.
+SQL["utf16_lengths"] = "SELECT doc_id, CAST(length(text) AS BIGINT) AS points, CAST(<utf16 length> AS BIGINT) AS units FROM {documents}"
+
+# Words of letters, one apostrophe inside allowed, and tokens between blanks.
+SQL["word_counts"] = "SELECT doc_id, CAST(<letter words> AS BIGINT) AS n_words, CAST(<blank-cut tokens> AS BIGINT) AS n_tokens FROM {documents}"
+
+# No blanks before a question or exclamation mark.
+SQL["clean_spacing"] = "SELECT doc_id, <no blank before ?!> AS cleaned FROM {documents}"
+
+# The scalar functions that scores are made of.
+SQL["math_scalars"] = """
+SELECT p_partkey, round(ln(p_retailprice), 6) AS ln_price, round(log2(p_retailprice), 6) AS log2_price, round(log10(p_retailprice), 6) AS log10_price, round(power(10, p_size / 10.0), 3) AS zipf_back,
+CAST(ceil(p_retailprice / 7 - 1e-9) AS BIGINT) AS up, CAST(floor(p_retailprice / 7) AS BIGINT) AS down FROM {part}"""
+
+# Rows of two corpora, all kept.
+SQL["corpus_union"] = "SELECT 'document' AS kind, doc_id AS id, text FROM {documents} UNION ALL SELECT 'benchmark' AS kind, item_id AS id, text FROM {benchmark}"
+
+# Distinct words of a text in the order of their first use.
+SQL["distinct_in_order"] = """
+SELECT doc_id, w, CAST(min(pos) AS BIGINT) AS first_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS BIGINT) AS place FROM <words> GROUP BY doc_id, w"""
+
 # Each word's commonest reading; ties by name.
 SQL["lang_majority"] = """
 WITH c AS (SELECT w, lang, count(*) AS n FROM <words> GROUP BY w, lang),
