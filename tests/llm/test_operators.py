@@ -177,6 +177,38 @@ def test_fuzzy_lines_are_those_of_all_pairs(spark):
     assert links and {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in fuzzy_lines.line_groups(docs).collect()} == want
 
 
+def similar_groups(rows):
+    """First place of each line's group, of all pairs of edit similarity PERCENT or more."""
+    first = {}
+    for i, t in sorted(rows):
+        for n, words in fuzzy_lines.lines_of(t.encode()):
+            first.setdefault(b" ".join(words).decode(), []).append((i, n))
+    names = sorted(first, key=lambda x: first[x][0])
+    links = []
+    for n, a in enumerate(names):
+        for m, b in enumerate(names[n + 1 :], n + 1):
+            most = max(len(a), len(b)) * (100 - fuzzy_lines.PERCENT) // 100
+            if abs(len(a) - len(b)) <= most and sum((Counter(a) - Counter(b)).values()) <= most and levenshtein(a, b) <= most:
+                links.append((n, m))
+    group = unite(range(len(names)), links)
+    return links, {(i, n): first[names[group[k]]][0] for k, x in enumerate(names) for i, n in first[x]}
+
+
+def test_fuzzy_lines_are_those_of_edit_similarity_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n, words in enumerate((10, 12, 16, 20, 30, 40, 60) * 3):  # a word replaced, or as many letters as the budget holds
+        line = ["".join(chr(c) for c in rng.integers(97, 123, rng.integers(4, 9))) for _ in range(words)]
+        copy, letters = list(line), list(" ".join(line))
+        copy[rng.integers(words)] = "qxqx"
+        for at in rng.choice(len(letters), len(letters) // 10, replace=False):
+            letters[at] = "é"
+        rows += [(10 * n + k, x) for k, x in enumerate((" ".join(line), " ".join(copy), "".join(letters)))]
+    links, want = similar_groups(rows)
+    assert len(links) >= 40
+    assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_mix_meets_its_targets(spark):
     rows = mixing.mixed_documents(documents(spark, "/root/testdata/sf0.01")).collect()
     taken, target, size = Counter(), {}, Counter()
