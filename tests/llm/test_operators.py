@@ -209,6 +209,14 @@ def test_fuzzy_lines_are_those_of_edit_similarity_alone(spark):
     assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_short_lines_and_lines_of_few_words_have_near_copies(spark):
+    few = " ".join(["lorem ipsum"] * 30)
+    rows = list(enumerate(["Contents 2019", "contents 2018", "licence", "license", "Terms of the licence", "Terms of the license", "All rights reserved", "All rigths reserved", "Home | About | Help", "Home | Abuot | Help now", few, few.replace("ipsum", "ipsun", 5), "x" * 9, "x" * 8 + "y", "x" * 10, "ÄÖÜ äöü ß", "ÄÖÜ äöü ßa"]))
+    links, want = similar_groups(rows)
+    assert len(links) >= 4
+    assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_mix_meets_its_targets(spark):
     rows = mixing.mixed_documents(documents(spark, "/root/testdata/sf0.01")).collect()
     taken, target, size = Counter(), {}, Counter()
