@@ -249,6 +249,18 @@ def test_bounds_are_exact_and_rules_keep_good_documents(spark):
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_rules_reach_strata_of_few_labels(spark):
+    good = "the quick brown fox jumps over a lazy dog while seven other animals look on from behind some old garden fence today"
+    n = {"a": 200, "b": 90, "c": 89, "d": 40}
+    rows = [(1000 * k + i, f"{good} {s}{i}", s) for k, s in enumerate(n) for i in range(n[s])]
+    junk = [(9000 + k, good.replace(" ", " # "), s) for k, s in enumerate(n)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, 1) for i, _, _ in rows], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, lab).collect()}
+    assert all(got[i].kept for i, _, _ in rows)
+    assert {s: got[9000 + k].kept for k, s in enumerate(n)} == {"a": False, "b": False, "c": False, "d": True}
+
+
 @pytest.mark.parametrize("score, label, held, least", [(toxicity.toxicity_scores, "toxic", (4, 2), 0.9), (byte_cnn.quality_scores, "quality", (3, 1), 0.9)])
 def test_classifiers_on_held_out_rows(spark, score, label, held, least):
     where = "/root/testdata/sf0.01"

@@ -98,24 +98,41 @@ def upper_bound(x: int, n: int, chance: float) -> float:
     return high
 
 
+def settings() -> list[dict[str, float]]:
+    """Joint settings in their fixed order: each makes one rule stricter by a step, all rules keeping pace through their grids."""
+    steps = sorted(((i + 1) / len(g), k, m, c) for k, (m, g) in enumerate(GRID.items()) for i, c in enumerate(g))
+    out: list[dict[str, float]] = []
+    for _, _, m, c in steps:
+        out.append((out[-1] if out else {}) | {m: c})
+    return out
+
+
+def rejected(rules: dict[str, float]) -> Column:
+    over = F.lit(False)
+    for m, c in rules.items():
+        over = over | (F.col(m) > c)
+    return over
+
+
 def cutoffs(good: DataFrame, risk: float = RISK, chance: float = CHANCE) -> dict[str | None, dict[str, float]]:
-    """The strictest safe cutoff of each rule in each stratum, from the measures of documents labelled good.
+    """The strictest safe joint setting of the rules in each stratum, from the measures of documents labelled good.
 
-    A rule may reject risk / number of rules of a stratum's good documents. Its cutoffs are
-    tested in their fixed order, lenient first, up to the first whose bound is too high; that order
-    needs no correction. The chance is divided by strata times rules (Bonferroni). All labelled rows
+    All rules together may reject risk of a stratum's good documents. What a joint setting rejects is
+    bounded as one rate; settings are tested in their fixed order, up to the first whose bound is too high; that order
+    needs no correction. The chance is divided by the strata (Bonferroni), so that
+    ln(chance / strata) / ln(1 - risk) good documents are enough for the first. All labelled rows
     are counted in Spark; a row for each stratum comes to the driver.
     """
-    sums = [F.count_if(F.col(m) > c).alias(f"{m}:{i}") for m, g in GRID.items() for i, c in enumerate(g)]
+    known = settings()
+    sums = [F.count_if(rejected(rules)).alias(f"x{k}") for k, rules in enumerate(known)]
     rows = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums).collect()
-    share = chance / max(1, len(rows) * len(GRID))
+    share = chance / max(1, len(rows))
     out: dict[str | None, dict[str, float]] = {}
     for r in rows:
-        for m, g in GRID.items():
-            for i, c in enumerate(g):
-                if upper_bound(r[f"{m}:{i}"], r["n"], share) > risk / len(GRID):
-                    break
-                out.setdefault(r["stratum"], {})[m] = c
+        for k, rules in enumerate(known):
+            if upper_bound(r[f"x{k}"], r["n"], share) > risk:
+                break
+            out[r["stratum"]] = rules
     return out
 
 
@@ -123,10 +140,7 @@ def verdict(found: dict[str | None, dict[str, float]]) -> Column:
     """True if no rule of the row's stratum rejects it; strata without labels reject nothing."""
     out = F.lit(True)
     for stratum, rules in found.items():
-        over = F.lit(False)
-        for m, c in rules.items():
-            over = over | (F.col(m) > c)
-        out = F.when(F.col("stratum").eqNullSafe(F.lit(stratum)), ~over).otherwise(out)
+        out = F.when(F.col("stratum").eqNullSafe(F.lit(stratum)), ~rejected(rules)).otherwise(out)
     return out
 
 
