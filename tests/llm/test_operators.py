@@ -123,6 +123,13 @@ def test_repeated_units_are_those_of_a_dictionary(spark):
     assert cleaned[1].count("word") == 60 and cleaned[3] == "x\n"
 
 
+def test_short_lines_and_passages_of_short_sentences_are_units(spark):
+    passage = " ".join(f"Word{i} goes here now." for i in range(15))
+    rows = [(1, f"Some opening words. {passage} Then an end of its own."), (2, f"Another start. {passage} And so on."), (3, "Read more about this page\nown"), (4, "other\nread more  about this page"), (5, "漢字" * 12), (6, "漢字" * 12)]
+    left = {r.doc_id: r.text for r in unit_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1: rows[0][1], 2: "Another start. And so on.", 3: rows[2][1], 4: "other\n", 5: rows[4][1], 6: ""}
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -14,25 +14,40 @@ from .common import map_batches, pieces, table
 
 #: A sentence ends at its marks before a blank; the rest of the line ends the last one.
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?![ \t])[^.!?]+)*(?:[.!?]+[ \t]*|$)")
+#: Words that a unit of sentences has at least (or six times as many bytes, where blanks are rare); shorter sentences are joined.
 MIN_WORDS = 10
+#: Bytes of the shortest line that is a unit.
+MIN_BYTES = 19
 
 
 def units_of(text: str, least: int) -> list[tuple[int, int, int, bytes]]:
     """(line start, start, end, normalised unit) of the lines, and of the sentences of lines with several.
 
-    Normalised: A-Z lower-cased, words joined by single blanks. Units of under `least` words are left out.
+    Normalised: A-Z lower-cased, words joined by single blanks. Lines of under MIN_BYTES are left out. From each
+    sentence on, and up to each, the fewest neighbours are joined that make `least` words, so that units
+    of a passage are the same wherever it stands. A line's own unit comes before those of its sentences.
     """
     out, at = [], 0
     for line in text.split("\n"):
         words = line.encode().lower().split()
-        if len(words) >= least:
-            out.append((at, at, at + len(line), b" ".join(words)))
+        whole = b" ".join(words)
+        if len(whole) >= MIN_BYTES:
+            out.append((at, at, at + len(line), whole))
             cuts = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()]
             if len(cuts) > 1:
-                for a, b in cuts:
-                    words = line[a:b].encode().lower().split()
-                    if len(words) >= least:
-                        out.append((at, at + a, at + b, b" ".join(words)))
+                parts = [line[a:b].encode().lower().split() for a, b in cuts]
+                counts, sizes = [len(p) for p in parts], [sum(map(len, p)) + len(p) for p in parts]
+                spans = {}
+                for step in (1, -1):
+                    for i in range(len(cuts)):
+                        j, n, size = i, 0, 0
+                        while 0 <= j < len(cuts) and n < least and size <= 6 * least:
+                            n, size, j = n + counts[j], size + sizes[j], j + step
+                        if n >= least or size > 6 * least:
+                            spans[min(i, j - step), max(i, j - step)] = True
+                for i, j in spans:
+                    if j - i + 1 < len(cuts):
+                        out.append((at, at + cuts[i][0], at + cuts[j][1], b" ".join(w for p in parts[i : j + 1] for w in p)))
         at += len(line) + 1
     return out
 
@@ -40,18 +55,19 @@ def units_of(text: str, least: int) -> list[tuple[int, int, int, bytes]]:
 def units(docs: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for batch in pieces(batches):
-            ids, rows = [], []
+            ids, rows, whole = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i is not None and t:
                     got = units_of(t, least)
                     ids += [i] * len(got)
                     rows += got
+                    whole += [k == 0 or r[0] != got[k - 1][0] for k, r in enumerate(got)]
             digests = [xxhash.xxh3_128_digest(r[3]) for r in rows]
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             cols = [np.array([r[j] for r in rows], np.int64) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, cols), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["doc_id", "line", "start", "end", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, cols), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(whole, pa.bool_())], ["doc_id", "line", "start", "end", "d1", "d2", "whole"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, line long, start long, end long, d1 long, d2 long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, line long, start long, end long, d1 long, d2 long, whole boolean")
 
 
 def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -59,7 +75,7 @@ def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     Units are hashed to 128 bits and grouped over all documents; the occurrence with the lowest
     (doc_id, start) stays. Offsets are code points of the original text, end exclusive. A
-    sentence of a removed line is not listed again. docs: doc_id and text; other columns are
+    sentence of a removed line is not listed again; the spans of joined sentences overlap. docs: doc_id and text; other columns are
     ignored. Null or empty texts and rows without a doc_id have no units. Rows that repeat a
     doc_id and text are the same occurrence, and none is removed for the other. An empty
     table gives an empty table.
@@ -68,10 +84,9 @@ def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     place = F.struct("doc_id", "start")
     groups = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first")
     gone = found.join(groups.hint("merge"), ["d1", "d2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    gone = table(gone.select("doc_id", "line", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "repeats")
-    # A line's row has the lowest start and, where its first sentence starts there too, the greatest end.
-    lines = gone.where("start = line").groupBy("doc_id", "line").agg(F.max("end").alias("covered"))
-    out = gone.join(lines, ["doc_id", "line"], "left").where("covered is null or end > covered or (start = line and end = covered)")
+    gone = table(gone.select("doc_id", "line", "start", "end", "whole", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "repeats")
+    lines = gone.where("whole").select("doc_id", "line", F.col("end").alias("covered")).distinct()
+    out = gone.join(lines, ["doc_id", "line"], "left").where("whole or covered is null or end > covered")
     return out.select("doc_id", "start", "end", "first_doc_id", "first_start").distinct()
 
 
