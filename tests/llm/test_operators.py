@@ -161,27 +161,12 @@ def test_edited_benchmark_passages_are_found(spark):
 
 
 def test_fuzzy_lines_are_those_of_all_pairs(spark):
-    rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    rows = [(r.doc_id, "\n".join(x for x in r.text.split("\n") if len(x) < 300)) for r in documents(spark).collect()]
     base = next(line for _, t in rows for line in t.split("\n") if 20 < len(line.split()) < 60)
     rows += [(9000 + i, base.replace(base[i + 10], "q", 1) + "\nown line") for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    first, sims, texts = {}, {}, {}
-    for i, t in sorted(rows):
-        for n, words in fuzzy_lines.lines_of(t.encode()):
-            first.setdefault(b" ".join(words), []).append((i, n))
-    names = sorted(first, key=lambda x: first[x][0])
-    sims = {x: fuzzy_lines.simhashes(fuzzy_lines._HASHES(list(set(x.split()))), np.array([0]))[0] for x in names if len(set(x.split())) >= fuzzy_lines.MIN_WORDS}
-    texts = list(sims)
-    s = np.array([sims[x] for x in texts]).view(np.uint64)
-    links = []
-    for n in range(len(texts)):
-        for m in np.nonzero(np.bitwise_count(s[n] ^ s[n + 1 :]) <= fuzzy_lines.DISTANCE)[0] + n + 1:
-            a, b = texts[n].decode(), texts[m].decode()
-            if levenshtein(a, b) <= max(len(a), len(b)) * (100 - fuzzy_lines.PERCENT) // 100:
-                links.append((names.index(texts[n]), names.index(texts[m])))
-    group = unite(range(len(names)), links)
-    want = {(i, n): first[names[group[k]]][0] for k, x in enumerate(names) for i, n in first[x]}
-    assert links and {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in fuzzy_lines.line_groups(docs).collect()} == want
+    links, want = similar_groups(rows)
+    assert len(links) >= 20
+    assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
 def similar_groups(rows):
@@ -191,12 +176,15 @@ def similar_groups(rows):
         for n, words in fuzzy_lines.lines_of(t.encode()):
             first.setdefault(b" ".join(words).decode(), []).append((i, n))
     names = sorted(first, key=lambda x: first[x][0])
+    letters = {c: j for j, c in enumerate(sorted(set("".join(names))))}
+    held = np.array([np.bincount([letters[c] for c in x], minlength=len(letters)) for x in names])
     links = []
-    for n, a in enumerate(names):
-        for m, b in enumerate(names[n + 1 :], n + 1):
-            most = max(len(a), len(b)) * (100 - fuzzy_lines.PERCENT) // 100
-            if abs(len(a) - len(b)) <= most and sum((Counter(a) - Counter(b)).values()) <= most and levenshtein(a, b) <= most:
-                links.append((n, m))
+    for n, a in enumerate(names):  # an edit changes the letters held by one each way
+        off = held[n + 1 :] - held[n]
+        for m in np.nonzero(np.maximum(np.maximum(off, 0).sum(axis=1), np.maximum(-off, 0).sum(axis=1)) * 100 <= np.maximum(held[n].sum(), held[n + 1 :].sum(axis=1)) * (100 - fuzzy_lines.PERCENT))[0] + n + 1:
+            b = names[m]
+            if levenshtein(a, b) <= max(len(a), len(b)) * (100 - fuzzy_lines.PERCENT) // 100:
+                links.append((n, int(m)))
     group = unite(range(len(names)), links)
     return links, {(i, n): first[names[group[k]]][0] for k, x in enumerate(names) for i, n in first[x]}
 
