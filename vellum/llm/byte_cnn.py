@@ -4,8 +4,8 @@ A filter has a learned weight for each byte value at each of WIDTH places (a con
 one-hot bytes), so that applying it is a sum of table look-ups. Filters run over the
 whole document; their outputs are max-pooled in overlapping chunks of SPAN blocks, every
 CHUNK blocks, and the chunk maxima combined, by their maximum and mean, into one probability.
-A blank before a word whose next eight bytes stood at an earlier word of the same piece of
-the document is told apart (code 1), so that filters see repetition.
+A blank before a word whose next eight bytes stood at an earlier word of the document is told
+apart (code 1), so that filters see repetition; this input is made by hand, the filters over it are learned.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, pieces, texts_of
+from .common import crc_mod, drop_table, map_batches, pieces, table, texts_of
 
 WIDTH, FILTERS, STRIDE = 6, 8, 2
 BLOCK, SPAN, CHUNK = 64, 4, 3
-#: Labelled rows, and bytes of each, that training may use.
-TRAIN_ROWS, TRAIN_BYTES = 1600, 20_000
-#: Bytes that the network takes at once; longer documents go through in such pieces, which overlap by WIDTH.
-PIECE = 1 << 18
+#: Labelled rows, and bytes of them all together, that training may use.
+TRAIN_ROWS, TRAIN_BYTES = 1600, 32 << 20
+#: Places whose outputs are held at once, a multiple of BLOCK; pooling goes on across such pieces.
+PIECE = BLOCK << 10
 
 
 def codes(text: bytes) -> np.ndarray:
@@ -62,20 +62,24 @@ class Net:
 
     def pooled(self, data: np.ndarray, where: bool = False):
         """Chunk maxima (chunks x FILTERS) and, for training, the places they come from."""
-        out = conv(self.p["tables"], data)
-        starts = np.arange(0, len(out), BLOCK)
-        blocks = np.maximum.reduceat(out, starts, axis=0)
-        bounds = chunk_bounds(len(out))
+        n = (len(data) - WIDTH) // STRIDE + 1
+        blocks, places = [], []
+        for a in range(0, n, PIECE):
+            out = conv(self.p["tables"], data[a * STRIDE : (min(n, a + PIECE) - 1) * STRIDE + WIDTH])
+            starts = np.arange(0, len(out), BLOCK)
+            blocks.append(np.maximum.reduceat(out, starts, axis=0))
+            if where:
+                places += [out[b : b + BLOCK].argmax(axis=0) + a + b for b in starts]
+        top, bounds = np.concatenate(blocks), chunk_bounds(n)
+        if where:
+            rows, places = np.arange(FILTERS), np.array(places)
+            places = np.array([places[a + top[a:b].argmax(axis=0), rows] for a, b in bounds])
         cuts = np.array(bounds).ravel()
-        top = np.maximum.reduceat(blocks, cuts[: len(cuts) - (cuts[-1] == len(blocks))], axis=0)[::2]
-        if not where:
-            return top
-        places = np.array([out[a * BLOCK : b * BLOCK].argmax(axis=0) + a * BLOCK for a, b in bounds])
-        return top, places
+        top = np.maximum.reduceat(top, cuts[: len(cuts) - (cuts[-1] == len(top))], axis=0)[::2]
+        return (top, places) if where else top
 
     def features(self, text: bytes) -> np.ndarray:
-        tops = [self.pooled(codes(text[max(0, a - WIDTH) : a + PIECE])) for a in range(0, max(1, len(text)), PIECE)]
-        top = np.tanh(np.concatenate(tops))
+        top = np.tanh(self.pooled(codes(text)))
         return np.concatenate([top.max(axis=0), top.mean(axis=0)])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -122,15 +126,23 @@ class Net:
 def sampled(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], rows: int, most: int) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels to learn from: at most rows / 2 of each class, the first by a hash of the id, none held out.
 
-    held_out: (n, r) holds out the rows whose crc32(doc_id) mod n is r. Texts of more than `most`
-    bytes are not learned from. Ids are chosen from the labels alone; they, at most `rows`, go to
-    every executor, and only their texts come to the driver.
+    held_out: (n, r) holds out the rows whose crc32(doc_id) mod n is r. Of those chosen, in the order of the hash, each
+    that still fits into its class's `most` / 2 bytes is learned from, however long. Ids are chosen from the labels alone; they, at most
+    `rows`, go to every executor, and they, their sizes and the texts that fit are all that comes to the driver.
     """
     known = labels.where(F.col(label).isin(0, 1) & (crc_mod("doc_id", held_out[0]) != held_out[1])).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for y in (0, 1)]
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= most)
-    got = texts.join(F.broadcast(parts[0].union(parts[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
+    texts = texts.join(F.broadcast(parts[0].union(parts[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = table(texts, "labelled")
+    used, fits = [0, 0], []
+    for r in found.select("doc_id", "y", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
+        if used[r["y"]] + r["bytes"] <= most // 2:
+            used[r["y"]] += r["bytes"]
+            fits.append(r["doc_id"])
+    got = found.where(F.col("doc_id").isin(fits)).collect()
+    drop_table(found)
     got.sort(key=lambda r: (r["y"], r["doc_id"]))
     return [r["text"].encode() for r in got], np.array([r["y"] for r in got], np.float64)
 

@@ -21,14 +21,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps on the edge table. A step is two
     aggregations with map-side combine and two joins whose skewed keys Spark can split; no
     neighbourhood is gathered in one task. Each round's edges are a written table, so a lost
-    executor costs a task, not the history. Null ends and self links are ignored.
+    executor costs a task, not the history. Null ends and self links are ignored. Rounds grow with
+    the logarithm of the ids; more than most_rounds raise an error.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     edges = table(edges, "edges")
     before = _print_of(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    rounds = 0
+    while before[0]:
+        if (rounds := rounds + 1) > most_rounds:
+            raise RuntimeError(f"components are unfinished after {most_rounds} rounds")
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo"), F.col("hi")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()

@@ -49,15 +49,23 @@ def by_source(docs: DataFrame, small: DataFrame, n: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, most: float = 3.0, seeds: int = SEEDS) -> DataFrame:
     """docs with size, source_size, target, copies and taken; a row for each row of docs.
 
-    docs: doc_id, text, source and any other columns except those names, which are replaced. Size
+    docs: doc_id, text, source and any other columns; those of these five names are replaced. Size
     is the number of words, 0 for null texts. A source repeats each document floor(rate) times,
     rate = target / source size, and once more if the document's draw is under the fraction.
     Each source uses that one of `seeds` seeds (ties: the first) whose copies come nearest to its
-    target; all are summed in the same pass. Sources without words have a target of 0 and take
+    target; all are summed in the same pass. With one seed a copy is a Bernoulli draw of the fraction; the best
+    of several keeps that chance only about. Sources without words have a target of 0 and take
     nothing. Rows that repeat a doc_id share its draw. Null ids draw as the empty id.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken", "rate", "seed")
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    out = drawn(docs, most, seeds)
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    return out.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def drawn(docs: DataFrame, most: float, seeds: int) -> DataFrame:
+    """(row, size, source_size, target, copies): row is the whole row of docs, so that no names of its columns can clash."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", size.alias("size"))
     rates = targets(sized.select("source", "size"), most)
     rates = rates.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0)))
     rates = table(rates.select("source", "source_size", "target", "rate"), "rates")
@@ -70,7 +78,7 @@ def mixed_documents(docs: DataFrame, most: float = 3.0, seeds: int = SEEDS) -> D
     rates = table(tried.select("source", "source_size", "target", "rate", F.array_min(F.array(*off))["seed"].alias("seed")), "rates")
     out = by_source(sized, rates, n)
     copies = (F.floor("rate") + F.when(_draw_of("seed") < fraction, 1).otherwise(0)).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("rate", "seed")
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def _draw_of(seed: str):
@@ -80,7 +88,10 @@ def _draw_of(seed: str):
 
 
 def emitted(docs: DataFrame, most: float = 3.0) -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as the mix takes it, with the columns of docs."""
-    cols = docs.columns
-    out = mixed_documents(docs, most).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(*cols)
+    """The mixed corpus: the rows of docs, each as often as the mix takes it, with the columns of docs as they are.
+
+    docs: doc_id, text, source and columns of any other names. Null texts and ids, repeated rows and empty tables are dealt
+    with as in mixed_documents(); rows without words follow their source's rate too.
+    """
+    out = drawn(docs, most, SEEDS).where("copies > 0")
+    return out.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")

@@ -55,19 +55,32 @@ def units_of(text: str, least: int) -> list[tuple[int, int, int, bytes]]:
 def units(docs: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for batch in pieces(batches):
-            ids, rows, whole = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, hashes, rows, whole = [], [], [], []
+            for i, t, h in zip(*(batch.column(j).to_pylist() for j in range(3))):
                 if i is not None and t:
                     got = units_of(t, least)
                     ids += [i] * len(got)
+                    hashes += [h] * len(got)
                     rows += got
                     whole += [k == 0 or r[0] != got[k - 1][0] for k, r in enumerate(got)]
             digests = [xxhash.xxh3_128_digest(r[3]) for r in rows]
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             cols = [np.array([r[j] for r in rows], np.int64) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, cols), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(whole, pa.bool_())], ["doc_id", "line", "start", "end", "d1", "d2", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), *map(pa.array, cols), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(whole, pa.bool_())], ["doc_id", "h", "line", "start", "end", "d1", "d2", "whole"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, line long, start long, end long, d1 long, d2 long, whole boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")), run, "doc_id long, h long, line long, start long, end long, d1 long, d2 long, whole boolean")
+
+
+def repeats(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, h, start, end, first_doc_id, first_start) of each unit to remove; h, a hash of the text, tells rows of one doc_id apart."""
+    found = table(units(docs, least), "units")
+    place = F.struct("doc_id", "start", "h")
+    groups = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first")
+    gone = found.join(groups.hint("merge"), ["d1", "d2"]).where(place != F.col("first"))
+    gone = table(gone.select("doc_id", "h", "line", "start", "end", "whole", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "repeats")
+    lines = gone.where("whole").select("doc_id", "h", "line", F.col("end").alias("covered")).distinct()
+    out = gone.join(lines, ["doc_id", "h", "line"], "left").where("whole or covered is null or end > covered")
+    return out.select("doc_id", "h", "start", "end", "first_doc_id", "first_start").distinct()
 
 
 def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -77,24 +90,24 @@ def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     (doc_id, start) stays. Offsets are code points of the original text, end exclusive. A
     sentence of a removed line is not listed again; the spans of joined sentences overlap. docs: doc_id and text; other columns are
     ignored. Null or empty texts and rows without a doc_id have no units. Rows that repeat a
-    doc_id and text are the same occurrence, and none is removed for the other. An empty
-    table gives an empty table.
+    doc_id and text are the same occurrence, and none is removed for the other; rows of one doc_id with different texts
+    are different occurrences. An empty table gives an empty table.
     """
-    found = table(units(docs, least), "units")
-    place = F.struct("doc_id", "start")
-    groups = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first")
-    gone = found.join(groups.hint("merge"), ["d1", "d2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    gone = table(gone.select("doc_id", "line", "start", "end", "whole", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "repeats")
-    lines = gone.where("whole").select("doc_id", "line", F.col("end").alias("covered")).distinct()
-    out = gone.join(lines, ["doc_id", "line"], "left").where("whole or covered is null or end > covered")
-    return out.select("doc_id", "start", "end", "first_doc_id", "first_start").distinct()
+    return repeats(docs, least).select("doc_id", "start", "end", "first_doc_id", "first_start").distinct()
 
 
 def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` cut to what repeated_units() leaves, and `removed`: array of (start, end) in the original."""
-    spans = repeated_units(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    out = docs.drop("removed").join(spans, "doc_id", "left")
+    """docs with `text` cut to what repeated_units() leaves, and `removed`: array of (start, end) in the original; null if nothing is.
+
+    docs: doc_id, text and any other columns; one named removed is replaced. Rows without a doc_id, and null or empty texts, stay as
+    they are. Rows that repeat a doc_id are cut each by the spans of its own text. An empty table gives an empty table.
+    """
+    spans = repeats(docs, least).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")).toDF("id", "h", "removed")
+    names = [c for c in docs.columns if c != "removed"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("h"))
+    out = rows.join(spans, ["id", "h"], "left")
     left = F.expr("""aggregate(removed, struct(0L as at, '' as kept),
         (s, r) -> struct(greatest(s.at, r.end) as at, s.kept || substring(text, cast(s.at + 1 as int), cast(greatest(r.start - s.at, 0L) as int)) as kept),
         s -> s.kept || substring(text, cast(s.at + 1 as int)))""")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in names], "removed")
