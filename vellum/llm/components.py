@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table
+from .common import drop_table, free_shuffles, table
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -46,15 +46,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
-def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def written(links: DataFrame, used: list[DataFrame]) -> DataFrame:
+    out = table(links, "links")
+    for x in used:
+        drop_table(x)
+    free_shuffles(out.sparkSession)
+    return out
+
+
+def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], tuple[DataFrame, list[DataFrame]]], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Components of ids that share a bucket and pass `near` and `confirm`, and the confirmed links used.
 
     buckets: (key, id, band), one row for each id in a bucket of two or more; an id is in one
     bucket of a band at most. sketches: (id, keys, ...), keys being an id's bucket of each band.
     near(x, y): a cheap test on the sketch columns of aliases x and y that lets every true
-    link through. confirm: keeps the true links of (a, b).
+    link through. confirm: keeps the true links of (a, b), and names the tables that aren't needed once these are written.
 
-    A round links each member of a bucket with one leader, a row per membership. Its links
+    In a round each id meets one leader, the least of those that its buckets name. Its links
     join most of a group of copies, whose inner pairs then need no test. What remains is
     every pair of a bucket that lies in different components, with one end outside the
     bucket's largest component; these are joined with the sketch test as a join
@@ -67,16 +75,16 @@ def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[str, str], C
         if comp is None:
             now = buckets.select("key", "id")
             lead = now.groupBy("key").agg(F.min("id").alias("leader"))
-            pairs = now.join(lead.hint("merge"), "key").where("id <> leader")
+            pairs = now.join(lead.hint("merge"), "key").groupBy("id").agg(F.min("leader").alias("leader")).where("id <> leader")
         else:
             now = buckets.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
             order = F.xxhash64("id", F.lit(k))
             lead = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("leader"), F.col("component").alias("c"))).alias("l"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key", "l.leader", "l.c")
-            pairs = now.join(lead.hint("merge"), "key").where("component <> c")
+            pairs = now.join(lead.hint("merge"), "key").where("component <> c").groupBy("id").agg(F.min("leader").alias("leader"))
         pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         x, y = sketches.alias("x"), sketches.alias("y")
         pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & near("x", "y")).select("a", "b")
-        found = table(confirm(pairs), "links")
+        found = written(*confirm(pairs))
         links = found if links is None else links.union(found)
         if comp is None or not found.isEmpty():
             comp = table(components(links), "components")
@@ -84,10 +92,12 @@ def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[str, str], C
     sized = now.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sized.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
     rest = table(now.join(main.hint("merge"), "key").join(sketches, "id"), "rest")
+    free_shuffles(rest.sparkSession)
     y, x = rest.alias("y"), rest.where("component <> main").alias("x")
     once = F.expr("forall(zip_with(slice(x.keys, 1, x.band), slice(y.keys, 1, x.band), (p, q) -> p <> q), z -> z)")
     pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & near("x", "y") & once)
-    found = table(confirm(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()), "links")
+    found = written(*confirm(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()))
+    drop_table(rest)
     links = links.union(found)
     if found.isEmpty():
         return comp, links

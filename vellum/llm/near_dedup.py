@@ -22,6 +22,8 @@ from .common import WordHashes, list_array, map_batches, mixed, pieces, table, t
 from .components import linked
 
 BITS = 1024
+#: Up to so many repeated ids (8 bytes each) are sent to every executor; beyond, Spark joins by key.
+MOST_BROADCAST_IDS = 1_000_000
 _HASHES = WordHashes()
 
 
@@ -124,14 +126,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         m, n = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
         return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (differ <= allowed)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         s = sets.select(F.col("id").alias("a"), F.col("shingles").alias("p"))
         t = sets.select(F.col("id").alias("b"), F.col("shingles").alias("q"))
         both = pairs.join(s, "a").join(t, "b").withColumn("i", F.size(F.array_intersect("p", "q")))
-        return both.where(F.col("i") * 100 >= (F.size("p") + F.size("q") - F.col("i")) * percent).select("a", "b")
+        return both.where(F.col("i") * 100 >= (F.size("p") + F.size("q") - F.col("i")) * percent).select("a", "b"), []
 
     comp, _ = linked(buckets, sketches, near, confirm)
     named = first.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", known.alias("component_id"), F.col("doc_id").eqNullSafe(known).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each group of near copies.
+
+    Groups are those of near_duplicates(), over rows: the row with the group's smallest doc_id stays. Rows without a doc_id, and rows that
+    repeat one, are documents of their own, which count as later than all others; so of equal rows one stays. Null or
+    empty texts, and texts without words, are in no group and all stay. An empty table gives an empty table.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    repeated = table(ids.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not repeated.isEmpty() or not ids.where("doc_id is null").isEmpty():
+        # Such rows are written with numbers of their own; the others stay where they are.
+        top = ids.agg(F.max("doc_id")).first()[0] or 0
+        known = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST_IDS else repeated
+        odd = rows.where("doc_id is null").unionByName(rows.join(known, "doc_id", "left_semi").select(*rows.columns))
+        odd = table(odd.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top) + 1), "rows")
+        rows = rows.where("doc_id is not null").join(known, "doc_id", "left_anti").select(*rows.columns).unionByName(odd)
+    kept = near_duplicates(rows.select("doc_id", "text"), k, percent).where("kept").select("doc_id")
+    return rows.join(kept, "doc_id", "left_semi").select("row.*")
