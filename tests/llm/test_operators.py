@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("vellum.llm.queries")
-from vellum.llm import byte_cnn, components, decontaminate, fuzzy_lines, mixing, near_dedup, quality_rules, toxicity, unit_dedup
+from vellum.llm import byte_cnn, components, decontaminate, edits, fuzzy_lines, mixing, near_dedup, quality_rules, toxicity, unit_dedup
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [(1, None, None), (2, "", "a"), (3, "one two three four", "a"), (3, "one two three four", "a"), (None, "no id", None), (4, "long " * 30_000, "b"), (5, "\n\n \t\n", "b"), (6, "ONE two three four", "a")]
@@ -278,3 +278,20 @@ def test_pipeline_is_its_stages(spark):
         left = after
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in left.collect())
+
+
+def test_distances_of_many_pairs_are_the_plain_ones():
+    rng = np.random.default_rng(6)
+    pairs = []
+    for _ in range(300):
+        a, b = ("".join(chr(97 + c) for c in rng.integers(0, 3, n)) for n in rng.integers(0, 150, 2))
+        if rng.random() < 0.6:
+            letters = list(a)
+            for at in rng.integers(0, max(1, len(a)), min(len(a), 9)):
+                letters[at] = "é"
+            b = "".join(letters)[rng.integers(0, 3) :]
+        pairs += [(a, b), (b, a)]
+    plain = np.array([levenshtein(a, b) for a, b in pairs])
+    assert edits.within(pairs, plain).all() and not edits.within(pairs, plain - 1)[plain > 0].any()
+    long = "".join(chr(97 + c) for c in rng.integers(0, 26, 5000))
+    assert edits.within([(long, long[:2000] + "Q" + long[2003:])], np.array([3])).all() and not edits.within([("x" + long, long[:2000] + "Q" + long[2003:] + "y")], np.array([4])).any()
