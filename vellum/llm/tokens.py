@@ -8,13 +8,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, map_batches, pieces, shared_dir, texts_of
+from .common import list_array, map_batches, pieces, shared_dir, table
 
 STRIPE_BYTES = 64 << 20
 ROWS_IN_INDEX = 10_000
+#: Up to so many files, their offsets (16 bytes each) are sent to every executor; beyond, they are joined by key.
+MOST_BROADCAST_FILES = 1_000_000
 
 
 class Numbered(dict):
@@ -71,17 +74,18 @@ class Encoder:
         self.parts.append(ids)
         self.sizes.append(np.diff(cuts))
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text. Words are split, and told apart within the batch, by Arrow; distinct ones are looked up."""
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
             self.tokenizer, self.known = Tokenizer.from_file(self.path), None
         if self.known is None or len(self.known) > self.most:
             self.known, self.flat, self.size, self.pairs = Words(), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 2), np.int64)
-        split = [t.split() for t in texts]
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = pc.list_flatten(split).dictionary_encode()
         known, before = self.known, len(self.size)
-        at = np.array([known[w] for words in split for w in words], np.int64)
+        at = np.array([known[w] for w in words.dictionary.cast(pa.binary()).to_pylist()], np.int64)[words.indices.to_numpy()]
         if known.pairs:
             self.pairs = np.concatenate([self.pairs, np.array(known.pairs, np.int64).reshape(-1, 2)])
             known.pairs = []
@@ -98,7 +102,7 @@ class Encoder:
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.cumsum([0] + [2 * len(words) for words in split])
+        bounds = np.concatenate([[0], 2 * np.cumsum(pc.list_value_length(split).to_numpy())])
         ends = np.concatenate([[0], ends])
         return ids, ends[bounds[1:]] - ends[bounds[:-1]]
 
@@ -119,7 +123,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
         encode = _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
         first = 0
         for batch in pieces(batches, 1024):
-            ids, counts = encode(texts_of(batch.column(1)))
+            ids, counts = encode(batch.column(1).cast(pa.string()))
             ends = np.cumsum(counts)
             ids, counts = np.insert(ids, ends, end_id), counts + 1
             before = first + np.concatenate([[0], np.cumsum(counts)])
@@ -134,12 +138,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, first, n_tokens, ids). Files are read in parallel by stripe; a filter on doc_id is pushed down to stripes and row groups."""
+    """(doc_id, first, n_tokens, ids) of files of write_tokens(). Files are read in parallel by stripe; a filter on doc_id is pushed down to stripes and row groups."""
     return spark.read.schema("doc_id long, first long, n_tokens long, ids array<int>").orc(path)
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files, from the ids themselves."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files that write_tokens() wrote at path, from the ids themselves.
+
+    A row for each row of the files; rows without a doc_id come with a null one. Files without rows give none.
+    """
 
     def run(batches):
         for batch in batches:
@@ -151,16 +158,18 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), batch.column(3)], ["doc_id", "first", "n_tokens", "ids_crc32", "file"])
 
     rows = read_tokens(spark, path)
-    named = F.col("_metadata.file_name").alias("file")
+    # The number of the writer's partition; a file for each.
+    named = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("long").alias("file")
     files = rows.select(named, F.col("first") + F.col("n_tokens")).toDF("file", "end").groupBy("file").agg(F.max("end").alias("ids"))
-    # A row for each file, whose number is that of the writer's partitions.
-    files = files.select("file", (F.sum("ids").over(Window.orderBy("file")) - F.col("ids")).alias("offset"))
-    out = map_batches(rows.select("doc_id", "first", "ids", named), run, "doc_id long, first long, n_tokens long, ids_crc32 long, file string")
-    return out.join(F.broadcast(files), "file").select("doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    # A row for each file.
+    files = table(files.select("file", (F.sum("ids").over(Window.orderBy("file")) - F.col("ids")).alias("offset")), "files")
+    files = F.broadcast(files) if files.count() <= MOST_BROADCAST_FILES else files
+    out = map_batches(rows.select("doc_id", "first", "ids", named), run, "doc_id long, first long, n_tokens long, ids_crc32 long, file long")
+    return out.join(files, "file").select("doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Writes docs to a new folder in the shared one, and reads the digests back."""
+    """Writes docs to a new folder in the shared one, and reads the digests back: a row for each row of docs, see write_tokens()."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vellum-tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer, end_id)
