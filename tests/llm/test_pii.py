@@ -1,9 +1,6 @@
 import hashlib
 import re
 
-import pytest
-
-pytest.importorskip("vellum.llm.pii")
 from vellum.llm import pii
 
 PATTERNS = {
@@ -69,6 +66,30 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
     assert got[10].spans == ""
 
 
+def test_found_identifiers_make_patterns_that_find_more_in_a_whole_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    planted = {10_000 + i: f"{'abcdefghij'[i % 10]} write  to user{i}@mail.example.org, today" for i in range(100)}
+    planted |= {20_000 + i: f"write to name{i}_at_host today" for i in range(20)}
+    planted |= {30_000 + i: f"first reach name{i}_at_host now" for i in range(20)}
+    planted |= {40_000: "never reach another9_at_place now", 40_001: "chapter 12 later", 40_002: "x " * 100 + "w" * 200 + " 77 " + "v" * 300}
+    docs = spark.createDataFrame(list((texts | planted).items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    spans = {i: {planted[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].spans.split(",") if x) if k == "email"} for i in planted}
+    assert all(spans[20_000 + i] == {f"name{i}_at_host"} == spans[30_000 + i] and got[20_000 + i].n_email == 0 for i in range(20))
+    assert spans[40_000] == {"another9_at_place"} and not spans[40_001] and not spans[40_002]
+    for i, t in texts.items():
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(t)).encode()).hexdigest()
+
+
+def test_context_words_of_any_length_and_neighbours_that_are_numbers(spark):
+    word = "w" * 500
+    rows = [(i, f"{word}a id {i}{i} {word}b") for i in range(3)] + [(7, "77 x@y.zz 12")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", pii.F.xxhash64("text"))
+    got = {(r.doc_id, r.value): set(r.patterns) for r in pii.instances(texts, pii.base_spans(texts)).collect()}
+    assert got[1, "11"] == {"l:id", f"2:{word}a id", f"r:{word}b", f"b:id {word}b"}
+    assert got[7, "77"] == {"l:<s>", "r:<num>", "b:<s> <num>"} and got[7, "12"] == {"l:<num>", "r:</s>", "b:<num> </s>"}
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (1, "no"), (None, "a@b.c"), (None, None)], "doc_id long, text string")

@@ -1,9 +1,10 @@
 """Personal data: base patterns as seeds, and bootstrapped contextual extraction; SQL functions only.
 
 Base matches seed the bootstrap. Tokens with a digit or an @ are instances; the words around
-an instance are its patterns. A pattern's score for a kind is the share of its distinct instances
-that score for the kind; an instance's is that of its best pattern, damped; seeds stay at 1. After
-ROUNDS rounds, instances in a pattern that scores CONFIDENCE or more are found as that kind.
+an instance are its patterns. In each round a pattern scores, for a kind, the sum of the scores of its distinct
+instances over their number; patterns of SUPPORT known instances that score CONFIDENCE or more are confident, and
+instances in them are known from then on, with the best of their patterns' scores, damped; seeds score 1. Rounds end when no
+instance is new and the scores have settled.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop_table, table
 
 #: Kinds in their order, the pattern, and a plain test that texts with a match pass. A match that starts within a run of the
 #: first class can only follow the match before it (\G), so look-behind keeps long runs linear; the possessive loops change no match.
@@ -23,21 +24,46 @@ KINDS = {
 }
 _B = r"\x20\x09-\x0D"
 TOKEN = rf"(?<![^{_B}])[^{_B}0-9@]*+[0-9@][^{_B}]*+"
-SUPPORT, ROUNDS, CONFIDENCE, DAMPING = 5, 3, 0.8, 0.9
+#: Known instances that a pattern needs, its least score, and the share of it that an instance gets.
+SUPPORT, CONFIDENCE, DAMPING = 5, 0.8, 0.9
+#: Share by which all scores together must still grow for another round.
+SETTLED = 1e-3
+#: What stands for a neighbour that has a digit or an @ itself, and for the ends of a text.
+NUMBER, START, END = "<num>", "<s>", "</s>"
 
 
-def cut(kind: str, pattern: str, test: str) -> Column:
-    """Array of (kind, match, gap before it, gap after it) over the text; empty where the test fails."""
+def cut(kind: str, pattern: str, test: str, around: bool = False) -> Column:
+    """Array of (kind, match, gap before it, words to its left, first word to its right) over the text; empty where the test fails.
+
+    The words are told if asked for; of any length, from the whole gaps.
+    """
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     gaps = F.split("text", pattern, -1)
-    both = F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), m.alias("match"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")))
-    return F.when(F.col("text").rlike(test), both).otherwise(F.array().cast("array<struct<kind:string,match:string,gap:string,next:string>>"))
+    none = F.lit(None).cast("string")
+
+    def item(m: Column, i: Column) -> Column:
+        gap, after = F.get(gaps, i), F.get(gaps, i + 1)
+        one = F.lower(F.regexp_extract(gap, rf"(?:^|[{_B}])([^{_B}]++)[{_B}]*+$", 1))
+        two = F.lower(F.regexp_extract(gap, rf"(?:^|[{_B}])([^{_B}]++[{_B}]++[^{_B}]++)[{_B}]*+$", 1))
+        right = F.lower(F.regexp_extract(after, rf"^[{_B}]*+([^{_B}]++)", 1))
+        one = F.when(one != "", one).otherwise(F.when(i == 0, START).otherwise(NUMBER))
+        right = F.when(right != "", right).otherwise(F.when(i + 1 == F.size(found), END).otherwise(NUMBER))
+        words = (one, F.when(two != "", two), right) if around else (none, none, none)
+        return F.struct(F.lit(kind).alias("kind"), m.alias("match"), gap.alias("gap"), *[w.alias(n) for w, n in zip(words, ("one", "two", "right"))])
+
+    return F.when(F.col("text").rlike(test), F.transform(found, item)).otherwise(F.array().cast("array<struct<kind:string,match:string,gap:string,one:string,two:string,right:string>>"))
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """Adds start and end, code points, from the lengths of gaps and matches; rows: rid, kind, pos, match, gap."""
-    w = Window.partitionBy("rid", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("gap") + F.length("match")).over(w)
+def placed(texts: DataFrame, found: Column) -> DataFrame:
+    """(doc_id, h, kind, match, one, two, right, start, end) of the items of found, in code points, from the lengths of gaps and matches.
+
+    A text is told by its doc_id and h; rows that repeat both are one.
+    """
+    rows = texts.where(F.col("text").rlike("[0-9@]")).select("doc_id", "h", F.posexplode(found).alias("pos", "x"))
+    rows = rows.select("doc_id", "h", "pos", "x.kind", "x.match", F.length("x.gap").alias("gap"), "x.one", "x.two", "x.right")
+    rows = rows.repartition("doc_id", "h").dropDuplicates(["doc_id", "h", "kind", "pos"])
+    w = Window.partitionBy("doc_id", "h", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("match")).over(w)
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
 
 
@@ -60,49 +86,51 @@ def holds(kind: Column, match: Column) -> Column:
 
 
 def base_spans(texts: DataFrame) -> DataFrame:
-    """(rid, doc_id, h, kind, start, end) of the base matches that hold."""
-    rows = texts.where(F.col("text").rlike("[0-9@]")).withColumn("all", F.concat(*[cut(k, p, t) for k, (p, t) in KINDS.items()]))
-    rows = rows.select("rid", "doc_id", "h", F.posexplode("all").alias("pos", "x")).select("rid", "doc_id", "h", "pos", "x.kind", "x.match", "x.gap")
-    return placed(rows).where(holds(F.col("kind"), F.col("match"))).select("rid", "doc_id", "h", "kind", "start", "end")
+    """(doc_id, h, kind, start, end) of the base matches that hold."""
+    rows = placed(texts, F.concat(*[cut(k, p, t) for k, (p, t) in KINDS.items()]))
+    return rows.where(holds(F.col("kind"), F.col("match"))).select("doc_id", "h", "kind", "start", "end")
 
 
 def instances(texts: DataFrame, base: DataFrame) -> DataFrame:
     """(doc_id, h, value, start, end, seed, patterns) of the tokens with a digit or an @ that don't lie inside a base span."""
-    rows = texts.where(F.col("text").rlike("[0-9@]")).withColumn("all", cut("", TOKEN, "[0-9@]"))
-    rows = rows.select("rid", "doc_id", "h", F.posexplode("all").alias("pos", "x")).select("rid", "doc_id", "h", "pos", "x.kind", "x.match", "x.gap", F.substring("x.next", 1, 60).alias("next"), F.expr("right(x.gap, 80)").alias("near"))
-    rows = placed(rows)
+    rows = placed(texts, cut("", TOKEN, "[0-9@]", True))
     head = F.length(F.regexp_extract("match", r"^[\"'(\[<]*+", 0))
     value = F.regexp_replace(F.regexp_replace("match", r"^[\"'(\[<]*+", ""), r"(?<![.,;:!?)\]>\"'])[.,;:!?)\]>\"']++$", "")
     rows = rows.withColumn("value", value).withColumn("start", F.col("start") + head).withColumn("end", F.col("start") + F.length("value"))
-    left = F.lower(F.regexp_extract("near", rf"([^{_B}]+)[{_B}]*$", 1))
-    left2 = F.lower(F.regexp_extract("near", rf"([^{_B}]+[{_B}]+[^{_B}]+)[{_B}]*$", 1))
-    right = F.lower(F.regexp_extract("next", rf"^[{_B}]*([^{_B}]+)", 1))
-    some = F.array(F.when(left != "", F.concat(F.lit("l:"), left)), F.when(left2 != "", F.concat(F.lit("2:"), left2)), F.when((left != "") & (right != ""), F.concat(F.lit("b:"), left, F.lit(" "), right)))
-    tokens = rows.select("rid", "doc_id", "h", "start", "end", "value", F.filter(some, lambda p: p.isNotNull()).alias("patterns"), F.lit(None).cast("string").alias("kind"))
-    spans = base.select("rid", "doc_id", "h", "start", "end", F.lit(None).cast("string").alias("value"), F.lit(None).cast("array<string>").alias("patterns"), "kind")
-    w = Window.partitionBy("rid").orderBy("start")
+    some = F.array(F.concat(F.lit("l:"), "one"), F.concat(F.lit("2:"), "two"), F.concat(F.lit("r:"), "right"), F.concat(F.lit("b:"), "one", F.lit(" "), "right"))
+    tokens = rows.select("doc_id", "h", "start", "end", "value", F.filter(some, lambda p: p.isNotNull()).alias("patterns"), F.lit(None).cast("string").alias("kind"))
+    spans = base.select("doc_id", "h", "start", "end", F.lit(None).cast("string").alias("value"), F.lit(None).cast("array<string>").alias("patterns"), "kind")
+    w = Window.partitionBy("doc_id", "h").orderBy("start")
     own = F.when(F.col("kind").isNotNull(), F.col("end"))
     both = tokens.union(spans).withColumn("seed", F.max("kind").over(w.rangeBetween(0, 0))).withColumn("past", F.max(own).over(w.rangeBetween(Window.unboundedPreceding, -1)))
     return both.where("value is not null and value <> '' and (past is null or past <= start)").select("doc_id", "h", "value", "start", "end", "seed", "patterns")
 
 
+def _mass(scores: DataFrame) -> tuple[int, float]:
+    r = scores.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+    return r[0], r[1]
+
+
 def confident_patterns(found: DataFrame) -> DataFrame:
-    """(pattern, kind) of the patterns that score CONFIDENCE or more after ROUNDS rounds over the pattern-instance graph."""
-    edges = found.select(F.explode("patterns").alias("pattern"), "value").distinct()
-    seeds = table(found.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0)), "seeds")
-    usable = edges.join(seeds, "value").groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern", "kind")
-    usable = table(usable, "usable")
-    edges = table(edges.join(usable.select("pattern").distinct().hint("merge"), "pattern", "left_semi"), "edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("all"))
-    scores = seeds
-    for k in range(ROUNDS):
-        mass = edges.join(scores.hint("merge"), "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
-        rated = mass.join(usable, ["pattern", "kind"], "left_semi").join(sizes, "pattern").select("pattern", "kind", (F.col("s") / F.col("all")).alias("score"))
+    """(pattern, kind) of the confident patterns once a round over the pattern-instance graph adds no instance, nor much to the scores."""
+    edges = table(found.select(F.explode("patterns").alias("pattern"), "value").distinct(), "edges")
+    sizes = table(edges.groupBy("pattern").agg(F.count("*").alias("all")).where(F.col("all") >= SUPPORT), "sizes")
+    seeds = found.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
+    scores = table(seeds, "scores")
+    before = _mass(scores)
+    while True:
+        mass = edges.join(scores.hint("merge"), "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+        rated = mass.join(sizes.hint("merge"), "pattern").select("pattern", "kind", (F.col("s") / F.col("all")).alias("score")).where(F.col("score") >= CONFIDENCE)
         rated = table(rated, "rated")
-        if k < ROUNDS - 1:
-            more = edges.join(rated.hint("merge"), "pattern").select("value", "kind", (F.col("score") * DAMPING).alias("score"))
-            scores = more.union(seeds).groupBy("value", "kind").agg(F.max("score").alias("score"))
-    return rated.where(F.col("score") >= CONFIDENCE).select("pattern", "kind")
+        more = edges.join(rated.hint("merge"), "pattern").select("value", "kind", (F.col("score") * DAMPING).alias("score"))
+        # What is known stays known and scores only grow, up to 1, so that rounds end.
+        after = table(more.union(scores.select("value", "kind", "score")).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")
+        now = _mass(after)
+        drop_table(scores)
+        if now[0] == before[0] and now[1] - before[1] <= SETTLED * now[1]:
+            drop_table(after)
+            return rated.select("pattern", "kind")
+        scores, before = after, now
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -110,11 +138,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     The counts and base_sha256 are of base matches; spans has those and what the bootstrap found,
     as kind:start:end by kind in the order of KINDS, then start. Offsets are code points, end
-    exclusive. docs: doc_id and text; other columns are ignored. Null or empty texts have no spans.
+    exclusive. A token found as two kinds gives a span of each. docs: doc_id and text; other columns are ignored. Null or empty texts have no spans.
     Rows that repeat a doc_id, or have none, are told apart by their texts; equal rows get equal
     results. An empty table gives an empty table.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).withColumn("rid", F.monotonically_increasing_id())
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     base = table(base_spans(texts), "base")
     seen = table(instances(texts, base), "instances")
     known = confident_patterns(seen)
