@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +37,16 @@ def normalised(text: str) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), np.nonzero(keep)[0]
 
 
-def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
-    """(distance, end) of the substring of text nearest to pattern by edit distance; the leftmost end of several."""
+def distances(pattern: bytes, text: bytes) -> Iterator[int]:
+    """For each end in text, 0 included: the least edit distance of pattern to a substring that ends there (Myers' bit-parallel columns)."""
     m = len(pattern)
     at: dict[int, int] = defaultdict(int)
     for i, c in enumerate(pattern):
         at[c] |= 1 << i
     mask, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score, best = mask, 0, m, (m, 0)
-    for j, c in enumerate(text, 1):
+    plus, minus, score = mask, 0, m
+    yield score
+    for c in text:
         eq = at.get(c, 0)
         x = eq | minus
         d = (((x & plus) + plus) ^ plus) | x
@@ -55,9 +57,39 @@ def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
             score -= 1
         up, down = (up << 1) & mask, (down << 1) & mask
         plus, minus = down | (mask & ~(d | up)), up & d
-        if score < best[0]:
-            best = score, j
-    return best
+        yield score
+
+
+def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
+    """(distance, end) of the substring of text nearest to pattern by edit distance; the leftmost end of several."""
+    return min((d, j) for j, d in enumerate(distances(pattern, text)))
+
+
+def occurrences(pattern: bytes, text: bytes, budget: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, distance) of the places within the budget that don't overlap, from the left.
+
+    After the first end within the budget, the nearest of the ends up to 2 * budget further is taken, the
+    leftmost of several; its start is the one nearest to it that gives the same distance. The search goes on at that end.
+    """
+    at = 0
+    while at < len(text):
+        best, last = None, 0
+        for j, d in enumerate(distances(pattern, text[at:])):
+            if best is None and d <= budget:
+                best, last = (d, j), j + 2 * budget
+            elif best is not None and d < best[0]:
+                best = d, j
+            if best is not None and (j >= last or not best[0]):
+                break
+        if best is None:
+            return
+        distance, end = best
+        back = text[max(at, at + end - len(pattern) - budget) : at + end][::-1]
+        _, size = best_match(pattern[::-1], back)
+        if not size:
+            return
+        yield at + end - size, at + end, distance
+        at += end
 
 
 class Index:
@@ -69,8 +101,9 @@ class Index:
             pattern = normalised(text)[0].strip()
             if pattern:
                 self.items.append((i, pattern, int(len(pattern) * rate)))
+        self.name = xxhash.xxh3_128_hexdigest(repr((rate, self.items)).encode())
 
-    def build(self):
+    def build(self) -> Index:
         import ahocorasick
 
         where: dict[str, list] = defaultdict(list)
@@ -96,26 +129,35 @@ class Index:
         for end, places in self.automaton.iter(data.decode("latin-1")):
             for n, a, size in places:
                 hits[n].add(end - size + 1 - a)
-        out = []
+        if not hits:
+            return []
+        raw, out = folded(text), []
         for n, diagonals in hits.items():
             item, pattern, budget = self.items[n]
-            last = None
-            groups: list[list[int]] = []
+            regions: list[list[int]] = []
             for d in sorted(diagonals):
-                if last is None or d - last > 2 * budget:
-                    groups.append([d, d])
-                groups[-1][1] = last = d
-            for low, high in groups:
-                lo, hi = max(0, low - budget), high + len(pattern) + budget
-                distance, end = best_match(pattern, data[lo:hi])
-                if distance <= budget:
-                    back, size = best_match(pattern[::-1], data[lo : lo + end][::-1])
-                    raw = folded(text)
-                    a, b = int(place[lo + end - size]), int(place[lo + end - 1]) + 1
+                lo, hi = max(0, d - budget), d + len(pattern) + budget
+                if not regions or lo > regions[-1][1]:
+                    regions.append([lo, hi])
+                regions[-1][1] = max(hi, regions[-1][1])
+            for lo, hi in regions:
+                for start, end, distance in occurrences(pattern, data[lo:hi], budget):
+                    a, b = int(place[lo + start]), int(place[lo + end - 1]) + 1
                     out.append((item, len(raw[:a].decode("utf-8", "ignore")), len(raw[:b].decode("utf-8", "ignore")), distance))
         return sorted(set(out))
 
 
+_BUILT: dict[str, Index] = {}
+
+
+def built(index: Index) -> Index:
+    """The index with its automaton, which a worker builds once, not for each task."""
+    if index.name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[index.name] = index.build()
+    return _BUILT[index.name]
+
+
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, one partition at a time on the driver."""
     block, size = [], 0
@@ -134,7 +176,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
     The budget is `rate` edits for each byte of the normalised item, rounded down. An item within
     its budget of a passage leaves at least one of budget + 1 pieces intact there, so no such
-    passage is missed; of overlapping passages near the same place the nearest one is listed.
+    passage is missed; of overlapping passages of one item occurrences() tells which is listed.
     Null or empty texts and items, and items without letters or digits, match nothing; rows
     without ids are left out; rows that repeat a doc_id give their rows each. The documents are
     passed over once for each block of the benchmark.
@@ -144,9 +186,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
         index = Index(block, rate)
 
         def run(batches, index=index):
-            index.build()
+            own = built(index)
             for batch in pieces(batches):
-                rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None for m in index.matches(t)]
+                rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None for m in own.matches(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], ["doc_id", "item_id", "start", "end", "distance"])
 
         found = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, item_id long, start long, end long, distance long")
@@ -155,15 +197,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs, with all their columns, in which no benchmark item is found."""
+    """The rows of docs, with all their columns, in which no benchmark item is found.
+
+    docs: text and any other columns, none of which matters otherwise: rows without an id are searched too, and rows that
+    repeat one are dealt with each. Null or empty texts stay, as do all rows if the benchmark is empty; items are as in contaminations().
+    """
     text = docs.columns.index("text")
     for block in blocks(benchmark):
         index = Index(block, rate)
 
         def run(batches, index=index):
-            index.build()
+            own = built(index)
             for batch in pieces(batches):
-                yield batch.filter(pa.array([not index.matches(t) for t in batch.column(text).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not own.matches(t) for t in batch.column(text).to_pylist()], pa.bool_()))
 
         docs = map_batches(docs, run, docs.schema)
     return docs

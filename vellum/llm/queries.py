@@ -19,47 +19,58 @@ def tokenizer_path() -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, see toxicity.toxicity_scores(): null and empty texts score as the bias does, and repeated rows give a row each."""
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.3, (4, 2))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, see near_dedup.near_duplicates(): documents without words are in none, and repeated rows give a row each."""
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), 3, 85)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines and sentences of all documents, see unit_dedup.repeated_units(): null and empty texts have none, and a row that repeats another none for that."""
     return unit_dedup.repeated_units(read(spark, sf_dir, "documents"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, see pii.personal_data(): null and empty texts have none, and repeated rows give a row each."""
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of the token ids of all documents, see tokens.encoded(): null texts are empty, and repeated rows are written each."""
     return tokens.encoded(read(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and words taken of all documents, see mixing.mixed_documents(): null texts have a size of 0, and a null source is one of its own."""
     return mixing.mixed_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, see byte_cnn.quality_scores(): null texts score as empty ones, and repeated rows give a row each."""
     return byte_cnn.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 0.5, (3, 1))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that repeat others fuzzily, see fuzzy_lines.fuzzy_line_dedup(): null and empty texts have no lines."""
     return fuzzy_lines.fuzzy_line_dedup(read(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, see quality_rules.quality_rules(): null texts count as empty, and repeated rows are measured each."""
     out = quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of benchmark items in all documents, see decontaminate.contaminations(): null and empty texts and items match nothing."""
     return decontaminate.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of corpus_pipeline.run()."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
