@@ -1,10 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-An input is a word: its learned value (by hash) beside the sum of the learned values of the
-character runs of its letters (4 and 5 bytes, with marks at both ends, by hash). Two gated
+An input is a word: a vector of its own (by hash) beside the sum of the vectors of the
+character runs of its letters (4 and 5 bytes, with marks at both ends, by hash). Of either kind one number is the label log-odds
+counted on other folds, and EMBED numbers are trained with the rest of the network, by its gradient. Two gated
 recurrent layers read a window of WINDOW words in both directions, attention pools their states,
 and a logistic unit scores the window. Windows overlap by WINDOW - STEP words and cover the whole text; a
-text's score is that of its highest window.
+text's score is that of its highest window. Words of over LONG bytes are read as overlapping pieces.
 """
 
 from __future__ import annotations
@@ -18,21 +19,32 @@ from pyspark.sql import functions as F
 from .byte_cnn import sampled
 from .common import crc_mod, map_batches, pieces, texts_of
 
-WINDOW, STEP, HIDDEN = 32, 24, 6
+WINDOW, STEP, HIDDEN, EMBED = 32, 24, 6, 4
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 15
-#: Labelled rows, and bytes of each, that training may use.
-TRAIN_ROWS, TRAIN_BYTES = 2000, 12_000
+#: Labelled rows, and bytes of them all together, that training may use.
+TRAIN_ROWS, TRAIN_BYTES = 2000, 32 << 20
 #: Texts that must hold a word or a character run for it to get a value, and the texts' worth of doubt in it.
 MIN_TEXTS, SHRINK = 3, 4
 #: Parts of the training texts; the values that a part trains on come from the others.
 FOLDS = 6
-#: Words whose inputs a worker keeps before it starts anew; longer words are read up to MOST_CHARS bytes at each end.
-MOST_WORDS, MOST_CHARS = 500_000, 24
+#: Words whose inputs a worker keeps before it starts anew; bytes of a word that is one input, and by which the pieces of longer ones overlap.
+MOST_WORDS, LONG, OVERLAP = 500_000, 48, 4
+#: Share of the rate at which the trained vectors move, what they lose a step, and the share of a batch's words that go without
+#: theirs: the words of single texts shouldn't be learned by heart.
+VECTOR_RATE, VECTOR_DECAY, DROPPED = 0.02, 0.01, 0.5
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z lower-cased; pieces of those of over LONG bytes."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [w[a : a + LONG] for w in words for a in range(0, max(1, len(w) - OVERLAP), LONG - OVERLAP)]
 
 
 def char_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the character runs of all words, and where each word's begin."""
-    marked = [b"\x02" + (w if len(w) <= 2 * MOST_CHARS else w[:MOST_CHARS] + b"\x04" + w[-MOST_CHARS:]) + b"\x03" for w in words]
+    marked = [b"\x02" + w + b"\x03" for w in words]
     sizes = np.array([len(w) for w in marked], np.int64)
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), sizes)
@@ -62,16 +74,16 @@ class Net:
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
         f = lambda *shape, scale=0.3: r.normal(0, scale, shape).astype(np.float32)
-        self.p = {"words": np.zeros((WORD_ROWS, 1), np.float32), "chars": np.zeros((CHAR_ROWS, 1), np.float32), "attend": f(2 * HIDDEN), "out": f(2 * HIDDEN), "bias": np.full(1, -2, np.float32)}
+        self.p = {"words": np.zeros((WORD_ROWS, 1), np.float32), "chars": np.zeros((CHAR_ROWS, 1), np.float32), "word_vectors": np.zeros((WORD_ROWS, EMBED), np.float32), "char_vectors": np.zeros((CHAR_ROWS, EMBED), np.float32), "attend": f(2 * HIDDEN), "out": f(2 * HIDDEN), "bias": np.full(1, -2, np.float32)}
         for d in "fb":
-            self.p |= {f"in_{d}": f(2, 3 * HIDDEN), f"b_{d}": np.zeros(3 * HIDDEN, np.float32), f"rec_{d}": f(HIDDEN, 3 * HIDDEN)}
+            self.p |= {f"in_{d}": f(2 + 2 * EMBED, 3 * HIDDEN), f"b_{d}": np.zeros(3 * HIDDEN, np.float32), f"rec_{d}": f(HIDDEN, 3 * HIDDEN)}
         self.known: dict[bytes, int] = {}
         self.gates = None
 
     def inputs(self, words: list[bytes]):
         rows = np.array([xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w in words], np.int64)
         chars, starts = char_rows(words)
-        x = np.concatenate([self.p["words"][rows], np.add.reduceat(self.p["chars"][chars], starts, axis=0)], axis=1)
+        x = np.concatenate([self.p["words"][rows], np.add.reduceat(self.p["chars"][chars], starts, axis=0), self.p["word_vectors"][rows], np.add.reduceat(self.p["char_vectors"][chars], starts, axis=0)], axis=1)
         return x, rows, chars, starts
 
     def gates_of(self, x: np.ndarray) -> np.ndarray:
@@ -107,9 +119,11 @@ class Net:
         pooled = np.einsum("tw,twh->wh", a, states)
         return pooled @ self.p["out"] + self.p["bias"][0], (states, a, pooled, mf, mb)
 
-    def gradients(self, at, mask, memory, d, x) -> dict:
-        """Gradients for d = dloss / dlogit of each window. x: the words' inputs."""
+    def gradients(self, at, mask, memory, d, inputs, used=True) -> dict:
+        """Gradients for d = dloss / dlogit of each window. inputs: what inputs() gave for the words; used: whose vectors were."""
         states, a, pooled, mf, mb = memory
+        x, rows, chars, starts = inputs
+        dx = np.zeros_like(x)
         h, p = HIDDEN, self.p
         g = {"out": pooled.T @ d, "bias": np.array([d.sum()])}
         dpool = d[:, None] * p["out"]
@@ -137,6 +151,11 @@ class Net:
             per = np.zeros((len(x), 3 * h), np.float32)
             np.add.at(per, idx, flat)
             g[f"rec_{name}"], g[f"in_{name}"], g[f"b_{name}"] = drec, x.T @ per, per.sum(axis=0)
+            dx += per @ p[f"in_{name}"].T
+        dx[:, 2:] *= used
+        g["word_vectors"], g["char_vectors"] = np.zeros_like(p["word_vectors"]), np.zeros_like(p["char_vectors"])
+        np.add.at(g["word_vectors"], rows, dx[:, 2 : 2 + EMBED])
+        np.add.at(g["char_vectors"], chars, np.repeat(dx[:, 2 + EMBED :], np.diff(np.append(starts, len(chars))), axis=0))
         return g
 
     @staticmethod
@@ -171,12 +190,13 @@ class Net:
         """Adam on the log loss of each text's highest window, `epochs` times over the texts or for `steps` batches, whichever is more.
 
         The values of words and character runs come from the other folds' labels, so that the layers
-        learn how far to trust them on new texts; scoring uses those from all texts.
+        learn how far to trust them on new texts; scoring uses those from all texts. The vectors start at 0, so that words and runs
+        that training never met add nothing.
         """
         if not len(texts) or labels.min() == labels.max():
             return self
         rng = np.random.default_rng(seed)
-        split = [t.lower().split() for t in texts]
+        split = [words_of(t) for t in texts]
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
         words = list(vocabulary)
         if not words:
@@ -184,6 +204,7 @@ class Net:
         _, rows, chars, starts = self.inputs(words)
         runs = np.split(chars, starts[1:])
         held = [(np.unique(rows[[vocabulary[w] for w in set(s)]]), np.unique(np.concatenate([runs[vocabulary[w]] for w in set(s)]))) if s else None for s in split]
+        rare = {name: np.bincount(np.concatenate([h[k] for h in held if h]), minlength=n) < MIN_TEXTS for k, (name, n) in enumerate((("word_vectors", WORD_ROWS), ("char_vectors", CHAR_ROWS)))}
         fold = rng.integers(0, FOLDS, len(texts))
         whole = self.row_values(held, labels, np.ones(len(texts), bool))
         others = [self.row_values(held, labels, fold != f) for f in range(FOLDS)]
@@ -200,27 +221,34 @@ class Net:
                 self.p |= others[f]
                 ids = np.concatenate([numbers[i] for i in some])
                 own, ids = np.unique(ids, return_inverse=True)
-                x = self.inputs([words[i] for i in own])[0]
-                gates = self.gates_of(x)
+                inputs = self.inputs([words[i] for i in own])
+                on = rng.random((len(own), 1)) >= DROPPED
+                inputs[0][:, 2:] *= on
+                gates = self.gates_of(inputs[0])
                 at, mask, text = self.laid_out(ids, [len(numbers[i]) for i in some])
                 logit, _ = self.windows(gates, at, mask)
                 rank = np.lexsort((logit, text))
                 top = rank[np.searchsorted(text[rank], np.arange(len(some)), side="right") - 1]
                 logit, memory = self.windows(gates, at[:, top], mask[:, top], True)
                 d = ((sigmoid(logit) - labels[some]) * weight[some] / len(some)).astype(np.float32)
-                g = self.gradients(at[:, top], mask[:, top], memory, d, x)
+                g = self.gradients(at[:, top], mask[:, top], memory, d, inputs, on)
+                for name, few in rare.items():
+                    g[name][few] = 0
                 step += 1
                 now = rate * (1 - epoch / epochs)
                 for k, value in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * value
                     v[k] = 0.98 * v[k] + 0.02 * value**2
-                    self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-7)).astype(np.float32)
+                    size = now * VECTOR_RATE if k.endswith("vectors") else now
+                    self.p[k] -= (size * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-7)).astype(np.float32)
+                    if k.endswith("vectors"):
+                        self.p[k] *= 1 - VECTOR_DECAY * now
         self.p |= whole
         return self
 
     def scores(self, texts: list[bytes], most: int = 4096) -> np.ndarray:
         """Scores of whole texts; windows go through `most` at a time."""
-        split = [t.lower().split() for t in texts]
+        split = [words_of(t) for t in texts]
         if self.gates is None or len(self.known) > MOST_WORDS:
             self.known, self.gates = {}, np.zeros((0, 6 * HIDDEN), np.float32)
         known = self.known
@@ -281,7 +309,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, held_o
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, that score under cut."""
+    """The rows of docs, with all their columns, that score under cut.
+
+    docs: text and any other columns. Texts without words, null ones too, score as the bias does. Rows without a doc_id, and each
+    of those that repeat one, are scored; an empty table gives an empty table, and without labels the untrained net decides.
+    """
     net = fitted(docs, labels)
     text = docs.columns.index("text")
 
