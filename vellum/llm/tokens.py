@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from itertools import islice
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -20,34 +21,18 @@ ROWS_IN_INDEX = 10_000
 MOST_BROADCAST_FILES = 1_000_000
 
 
-class Numbered(dict):
-    """Numbers keys as they are met."""
+#: A word that ends in marks which the tokenizer never joins with the ASCII letter or digit before them.
+MARKED = r"(?s)^(?P<stem>.*?[a-z0-9])(?P<marks>[.,!?;:*$&%#]+)$"
+#: How byte-level models spell a byte: printable Latin-1 as it is, the others from 256 on.
+_SPELLED = {}
+for _b in range(256):
+    _SPELLED[_b] = chr(_b) if 33 <= _b <= 126 or 161 <= _b <= 172 or 174 <= _b else chr(256 + sum(c > 255 for c in map(ord, _SPELLED.values())))
+_SPELLING = str.maketrans({chr(k): v for k, v in _SPELLED.items()})
 
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
 
-
-#: Bytes that the tokenizer never joins with an ASCII letter or digit before them.
-MARKS = b".,!?;:*$&%#"
-_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-
-
-class Words(dict):
-    """Numbers words, and splits each into its lower-cased stem and the marks that end it; piece 0 is empty."""
-
-    def __init__(self):
-        self.pieces, self.pairs = Numbered({b"": 0}), []
-
-    def __missing__(self, word: bytes) -> int:
-        low = word if b"<|" in word else word.lower()  # special tokens are told by case
-        stem = low.rstrip(MARKS)
-        if 0 < len(stem) < len(low) and stem[-1] in _ALNUM:
-            self.pairs += (self.pieces[stem], self.pieces[low[len(stem) :]])
-        else:
-            self.pairs += (self.pieces[low], 0)
-        self[word] = n = len(self)
-        return n
+def plain(piece: str) -> bool:
+    """Small Latin letters alone, composed: neither the normalizer nor the pre-tokenizer changes or splits them."""
+    return piece.isalpha() and max(piece) < "\u0250" and piece == piece.lower() and is_normalized("NFC", piece)
 
 
 class Encoder:
@@ -56,55 +41,75 @@ class Encoder:
     The tokenizer splits at ASCII blanks before anything else, and neither its normalizer nor its
     merges reach across them, so a text's ids are those of its words, one after the other. Words
     are lower-cased there too, and marks after a letter are a piece of their own, so that the
-    tokenizer need only encode distinct stems and marks. A worker keeps the ids of up to `most`
-    words and then starts anew.
+    tokenizer need only encode distinct stems and marks; plain() ones go to its model directly. Words are split, told apart and
+    put together again by Arrow. A worker keeps the ids of up to `most` pieces and then starts anew.
     """
 
     def __init__(self, path: str, most: int = 500_000):
-        self.path, self.most, self.tokenizer = path, most, None
-
-    def _learn(self, words: list[bytes]) -> None:
-        joined = b" ".join(words).decode()
+        self.path, self.most, self.tokenizer, self.known = path, most, None, None
+
+    def _learn(self, pieces: list[str]) -> None:
+        found: list[list[int]] = []
+        odd = []
+        for k, piece in enumerate(pieces):
+            if plain(piece):
+                spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SPELLING)
+                found.append([t.id for t in self.model.tokenize(spelled)])
+            else:
+                found.append([])
+                odd.append(k)
+        for a in range(0, len(odd), 5000):
+            some = odd[a : a + 5000]
+            for k, ids in zip(some, self._whole([pieces[k] for k in some])):
+                found[k] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.size = np.concatenate([self.size, sizes])
+        self.first = np.cumsum(self.size) - self.size
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word, by the whole tokenizer."""
+        joined = " ".join(words)
         got = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(got.ids, np.int32)
-        at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
         # Offsets count characters; a word begins at the start and after each blank.
-        blanks = np.nonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)[0]
-        cuts = np.searchsorted(at, np.concatenate([[0], blanks + 1, [len(joined) + 1]]))
-        self.parts.append(ids)
-        self.sizes.append(np.diff(cuts))
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        cuts = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), starts).tolist()
+        ids = got.ids
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _numbers(self, pieces: pa.StringArray) -> np.ndarray:
+        """Numbers of pieces, new ones learned."""
+        coded = pieces.dictionary_encode()
+        names, known = coded.dictionary.to_pylist(), self.known
+        new = [x for x in names if x not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self._learn(new)
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text. Words are split, and told apart within the batch, by Arrow; distinct ones are looked up."""
+        """All ids, and the number of ids of each text."""
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
-            self.tokenizer, self.known = Tokenizer.from_file(self.path), None
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.model = self.tokenizer.model
         if self.known is None or len(self.known) > self.most:
-            self.known, self.flat, self.size, self.pairs = Words(), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 2), np.int64)
+            self.known, self.flat, self.size, self.first = {"": 0}, np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = pc.list_flatten(split).dictionary_encode()
-        known, before = self.known, len(self.size)
-        at = np.array([known[w] for w in words.dictionary.cast(pa.binary()).to_pylist()], np.int64)[words.indices.to_numpy()]
-        if known.pairs:
-            self.pairs = np.concatenate([self.pairs, np.array(known.pairs, np.int64).reshape(-1, 2)])
-            known.pairs = []
-        if len(known.pieces) > before:
-            new = list(islice(known.pieces, before, None))
-            self.parts, self.sizes = [self.flat], [self.size]
-            for a in range(0, len(new), 5000):
-                self._learn(new[a : a + 5000])
-            self.flat, self.size = np.concatenate(self.parts), np.concatenate(self.sizes)
-            self.first = np.cumsum(self.size) - self.size
-        elif before == 1:
-            self.first = np.zeros(1, np.int64)
-        at = self.pairs[at].ravel()
-        size = self.size[at]
+        coded = pc.list_flatten(split).dictionary_encode()
+        words = coded.dictionary
+        low = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))  # special tokens are told by case
+        cut = pc.extract_regex(low, MARKED)
+        stems = pc.coalesce(pc.struct_field(cut, "stem"), low)
+        marks = pc.fill_null(pc.struct_field(cut, "marks"), "")
+        both = np.stack([self._numbers(stems), self._numbers(marks)], axis=1).ravel()
+        size = self.size[both]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], 2 * np.cumsum(pc.list_value_length(split).to_numpy())])
-        ends = np.concatenate([[0], ends])
-        return ids, ends[bounds[1:]] - ends[bounds[:-1]]
+        values = self.flat[np.repeat(self.first[both] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        lists = list_array(values, size[0::2] + size[1::2], pa.int32()).take(coded.indices)
+        bounds = lists.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()].astype(np.int64)
+        return lists.values.to_numpy()[bounds[0] : bounds[-1]], np.diff(bounds)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -122,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     def run(batches):
         encode = _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
         first = 0
-        for batch in pieces(batches, 1024):
+        for batch in pieces(batches, 2048):
             ids, counts = encode(batch.column(1).cast(pa.string()))
             ends = np.cumsum(counts)
             ids, counts = np.insert(ids, ends, end_id), counts + 1
