@@ -6,7 +6,6 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-pytest.importorskip("vellum.llm.queries")
 from vellum.llm import byte_cnn, components, decontaminate, edits, fuzzy_lines, mixing, near_dedup, quality_rules, toxicity, unit_dedup
 
 SMALL = "/root/testdata/sf0.001"
@@ -267,9 +266,199 @@ def test_classifiers_on_held_out_rows(spark, score, label, held, least):
     assert np.mean([r.predicted == truth[r.doc_id] for r in own]) >= least
 
 
+def naive_score(net, words):
+    """The toxicity net over one window, word by word."""
+    p, h = net.p, toxicity.HIDDEN
+    x, rows, chars, starts = net.inputs(words)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((len(words), 2 * h))
+    for d, order, part in (("f", range(len(words)), slice(0, h)), ("b", reversed(range(len(words))), slice(h, 2 * h))):
+        s = np.zeros(h)
+        for t in order:
+            g, u = x[t] @ p[f"in_{d}"] + p[f"b_{d}"], s @ p[f"rec_{d}"]
+            z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+            s = z * s + (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :])
+            states[t, part] = s
+    a = np.exp(states @ p["attend"])
+    return sig((a / a.sum()) @ states @ p["out"] + p["bias"][0])
+
+
+def filled_net(seed=0):
+    net, rng = toxicity.Net(), np.random.default_rng(seed)
+    for k in ("words", "chars", "word_vectors", "char_vectors"):
+        net.p[k] = rng.normal(0, 0.3, net.p[k].shape).astype(np.float32)
+    return net
+
+
+def test_toxicity_net_is_the_plain_recurrence():
+    net, rng = filled_net(), np.random.default_rng(1)
+    texts = [b" ".join(b"w%d" % i for i in rng.integers(0, 50, n)) for n in (1, 5, 32, 33, 80)]
+    want = []
+    for t in texts:
+        words = t.split()
+        want.append(max(naive_score(net, words[a : a + toxicity.WINDOW]) for a in toxicity.window_starts(len(words))))
+    assert np.allclose(net.scores(texts), want, atol=1e-5) and net.scores([b""])[0] == pytest.approx(1 / (1 + np.exp(2)))
+
+
+def test_toxicity_gradients_are_finite_differences():
+    net = filled_net(2)
+    net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    words = [b"w%d" % i for i in range(9)]
+    inputs = net.inputs(words)
+    at, mask, _ = net.laid_out(np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 1, 0]), [7, 4])
+
+    def logits():
+        return net.windows(net.gates_of(net.inputs(words)[0]), at, mask)[0]
+
+    _, memory = net.windows(net.gates_of(inputs[0]), at, mask, True)
+    g = net.gradients(at, mask, memory, np.array([1.0, -0.5]), inputs)
+    rng = np.random.default_rng(3)
+    for name, value in g.items():
+        flat, own = net.p[name].reshape(-1), np.asarray(value).reshape(-1)
+        for i in rng.permutation(np.nonzero(own)[0])[:6]:
+            kept, step = flat[i], 1e-4
+            flat[i] = kept + step
+            up = logits() @ [1.0, -0.5]
+            flat[i] = kept - step
+            down = logits() @ [1.0, -0.5]
+            flat[i] = kept
+            assert abs((up - down) / (2 * step) - own[i]) < 2e-3 * max(1, abs(own[i])), (name, i)
+
+
+def test_long_words_are_read_whole():
+    a, b = b"x" * 100 + b"one" + b"y" * 100, b"x" * 100 + b"two" + b"y" * 100
+    assert len(toxicity.words_of(a)) > 4 and toxicity.words_of(a) != toxicity.words_of(b) and toxicity.words_of(b"A b" + b"c" * 46) == [b"a", b"b" + b"c" * 46]
+    pieces = toxicity.words_of(a)
+    assert b"".join([pieces[0]] + [x[toxicity.OVERLAP :] for x in pieces[1:]]) == a
+    net = filled_net()
+    assert net.scores([a])[0] != net.scores([b])[0]
+
+
+def test_quality_net_is_the_plain_convolution_over_whole_texts():
+    net, rng = byte_cnn.Net(), np.random.default_rng(4)
+    c, w, s = byte_cnn, byte_cnn.WIDTH, byte_cnn.STRIDE
+    for text in (b"", b"a", bytes(rng.integers(97, 123, 3000).tolist())):
+        data = c.codes(text)
+        out = [sum(net.p["tables"][j][data[at + j]] for j in range(w)) for at in range(0, len(data) - w + 1, s)]
+        blocks = -(-len(out) // c.BLOCK)
+        tops = []
+        for a in range(0, max(1, blocks), c.CHUNK):
+            if a == 0 or a + c.SPAN - c.CHUNK < blocks:
+                tops.append(np.max(out[a * c.BLOCK : (a + c.SPAN) * c.BLOCK], axis=0))
+        t = np.tanh(np.array(tops))
+        assert np.allclose(net.features(text), np.concatenate([t.max(axis=0), t.mean(axis=0)]), atol=1e-5)
+    half = b" ".join(b"%x" % i for i in rng.integers(0, 1 << 60, 25_000))
+    marks = c.codes(half + b" " + half)
+    words = [(half + b" " + half)[i + 1 : i + 9] for i in range(2 * len(half) + 1) if (half + b" " + half)[i : i + 1] == b" "]
+    assert len(half) > 1 << 18 and (marks == 1).sum() >= 24_990 and len(words) == 49_999
+    whole, size = net.features(half), c.PIECE
+    try:
+        c.PIECE = c.BLOCK * 3
+        assert np.allclose(net.features(half), whole, atol=1e-6)
+    finally:
+        c.PIECE = size
+
+
+def test_quality_gradients_move_the_loss_down():
+    texts, y = [b"good words here and there " * 20, b"###!!! ***### " * 30] * 10, np.array([1.0, 0.0] * 10)
+    net = byte_cnn.Net().train(texts, y, epochs=20)
+    assert (net.scores(texts[:2]) >= 0.5).tolist() == [True, False]
+
+
+def test_long_texts_are_learned_from(spark):
+    docs = spark.createDataFrame([(1, "a " * 60_000), (2, "b"), (3, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert [len(t) for t in byte_cnn.sampled(docs, known, "quality", (99, 98), 100, 1 << 20)[0]] == [1, 120_000]
+    assert [len(t) for t in byte_cnn.sampled(docs, known, "quality", (99, 98), 100, 1 << 10)[0]] == [1]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = "doc_id long, text string, source string, rate string, seed string, size string, _copy string, target string, copies string, taken string, row string, col string, key string, h string, id string, removed string"
+    docs = spark.createDataFrame([(1, "a b", "s", *"0123456789abc"), (2, "c", None, *"0123456789abc")], names)
+    for out in (mixing.emitted(docs), near_dedup.without_near_copies(docs), decontaminate.decontaminated(docs, benchmark(spark)), toxicity.without_toxic(docs, labels(spark))):
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+    got = unit_dedup.without_repeats(docs)
+    assert got.columns == docs.columns and {r.h: r.id for r in got.collect()} == {"a": "b"}
+
+
+def test_texts_of_one_id_are_cut_by_their_own_spans(spark):
+    line = "a line that stands in several places of this table"
+    docs = spark.createDataFrame([(1, f"{line}\nown words of the first row"), (1, "x" * 90), (2, line)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in unit_dedup.without_repeats(docs).collect()) == [(1, f"{line}\nown words of the first row"), (1, "x" * 90), (2, "")]
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, b), (2, a + " more"), (None, a), (None, b), (None, "own words of a row without an id"), (None, None), (3, ""), (3, "")]
+    got = near_dedup.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = Counter(r.text for r in got)
+    assert texts == {b: 1, "own words of a row without an id": 1, None: 1, "": 2, **({a: 1} if a in texts else {a + " more": 1})}
+
+
+def test_all_places_of_an_item_are_found(spark):
+    rng = np.random.default_rng(5)
+    item = "".join("abcdefghij"[i % 10] for i in range(300))
+    plain = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(20))
+    rows = [(1, f"{item} zz {item}"), (2, f"{plain}, {plain}; {plain.replace(plain[7:9], '', 1)}"), (3, plain[:60])]
+    items = spark.createDataFrame([(1, item), (2, plain)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contaminations(spark.createDataFrame(rows, "doc_id long, text string"), items).collect())
+    n, m = len(plain), len(item)
+    assert [x for x in got if x[0] == 1] == [(1, 1, 0, m, 0), (1, 1, m + 4, 2 * m + 4, 0)]
+    assert [x[:3] for x in got if x[0] == 2] == [(2, 2, 0), (2, 2, n + 2), (2, 2, 2 * n + 4)] and [x[4] for x in got if x[0] == 2] == [0, 0, 2]
+    assert not [x for x in got if x[0] == 3]
+
+
+def test_contaminations_are_those_of_plain_distances(spark):
+    rng = np.random.default_rng(7)
+    items = {i: "".join("ab c"[c] for c in rng.integers(0, 4, n)).strip() or "a" for i, n in enumerate((12, 25, 40, 60, 80))}
+    docs = {}
+    for d in range(40):
+        text = list("".join("abc d"[c] for c in rng.integers(0, 5, 60)) + items[d % 5] + "".join("abd c"[c] for c in rng.integers(0, 5, 60)))
+        for at in rng.integers(60, len(text) - 60, d % 6):
+            text[at] = "z"
+        docs[d] = "".join(text)
+    want = set()
+    for d, text in docs.items():
+        t = decontaminate.normalised(text)[0]
+        for i, x in items.items():
+            p = decontaminate.normalised(x)[0].strip()
+            if p and min(min(levenshtein(p, t[a : a + n]) for a in range(len(t) - n + 1)) for n in range(len(p) - 4, len(p) + 5) if 0 < n <= len(t)) <= int(len(p) * decontaminate.RATE):
+                want.add((d, i))
+    got = decontaminate.contaminations(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert want and {(r.doc_id, r.item_id) for r in got} == want
+    for r in got:
+        assert decontaminate.normalised(docs[r.doc_id][r.start : r.end])[0].strip() and r.distance <= int(len(decontaminate.normalised(items[r.item_id])[0].strip()) * decontaminate.RATE)
+
+
+def test_verdicts_are_those_of_bounds_by_hand(spark):
+    """All settings in their order, each bounded by the exact binomial tail in fractions."""
+    from fractions import Fraction
+    from math import comb
+
+    docs = documents(spark, "/root/testdata/sf0.01")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality_rules.quality_rules(docs, lab).collect()
+    good = {r.doc_id for r in lab.where("quality = 1").collect()}
+    strata = sorted({r.stratum for r in rows if r.doc_id in good})
+    chance, risk = Fraction(1, 20) / len(strata), Fraction(1, 20)
+    for s in strata:
+        own = [r for r in rows if r.stratum == s]
+        known, allowed = [r for r in own if r.doc_id in good], {}
+        for rules in quality_rules.settings():
+            x, n = sum(any(r[m] > c for m, c in rules.items()) for r in known), len(known)
+            # The bound is at most the risk where so few at that rate are no likelier than the chance.
+            if sum(comb(n, k) * risk**k * (1 - risk) ** (n - k) for k in range(x + 1)) > chance:
+                break
+            allowed = rules
+        for r in own:
+            assert r.kept == (not r.base_failed and not any(r[m] > c for m, c in allowed.items()))
+
+
 def test_pipeline_is_its_stages(spark):
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
     docs = documents(spark)
     left = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -277,7 +466,26 @@ def test_pipeline_is_its_stages(spark):
         assert after.columns == docs.columns and {r.doc_id for r in after.collect()} <= {r.doc_id for r in left.collect()}
         left = after
     rows = corpus_pipeline.run(spark, SMALL).collect()
-    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in left.collect())
+    encode = Tokenizer.from_file(corpus_pipeline.tokenizer_path()).encode
+    want, start = [], 0
+    for r in sorted(left.collect(), key=lambda r: r.doc_id):
+        ids = np.array(encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in rows) == want
+
+
+def test_pipeline_of_odd_and_no_rows(spark, tmp_path):
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    import corpus_pipeline
+
+    for name, rows in (("some", ODD), ("none", [])):
+        where = f"{tmp_path}/{name}"
+        odd(spark, rows).write.parquet(f"file://{where}/documents.parquet")
+        labels(spark).write.parquet(f"file://{where}/labels.parquet")
+        benchmark(spark).write.parquet(f"file://{where}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"file://{where}").collect()
+        assert (len(got) == 0) == (name == "none") and {r.doc_id for r in got} <= {i for i, _, _ in ODD}
 
 
 def test_distances_of_many_pairs_are_the_plain_ones():

@@ -43,7 +43,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def char_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the character runs of all words, and where each word's begin."""
+    """Rows of the character runs of all words, and where each word's begin; the one run of a word of one byte has three."""
     marked = [b"\x02" + w + b"\x03" for w in words]
     sizes = np.array([len(w) for w in marked], np.int64)
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
@@ -53,8 +53,9 @@ def char_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(data), np.uint64)
     for j in range(5):
         h = h[: len(data) - j] * np.uint64(0x9E3779B97F4A7C15) + data[j:] + np.uint64(1)
-        if j >= 3:
-            at = np.nonzero(np.arange(len(h)) + j < last[: len(h)])[0]
+        if j >= 2:
+            whole = np.arange(len(h)) + j < last[: len(h)]
+            at = np.nonzero(whole if j > 2 else whole & (sizes[word[: len(h)]] == 3))[0]
             rows.append((((h[at] + np.uint64(j)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)).astype(np.int64) % CHAR_ROWS)
             owner.append(word[at])
     rows, owner = np.concatenate(rows), np.concatenate(owner)
