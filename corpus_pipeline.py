@@ -10,26 +10,27 @@ from vellum.llm.queries import END_ID, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3; the net learns from the labels that aren't held out."""
+    """Documents that score under 0.3; the net learns from the labels that aren't held out. Texts without words stay."""
     return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, at five words and a similarity of 0.8."""
-    kept = near_dedup.near_duplicates(docs, 5, 80).where("kept").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(*docs.columns))
+    """One document of each near-duplicate group, that with the smallest id, at five words and a similarity of 0.8; rows that repeat an id count as documents."""
+    return near_dedup.without_near_copies(docs, 5, 80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found within its edit budget; null and empty texts stay."""
     return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mix; a document taken twice is two rows."""
+    """The rows of the mix; a document taken twice is two rows, one not taken none. A null source is a source of its own."""
     return mixing.emitted(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row of docs with the place, number and checksum of its ids in the files, which come in ascending order of doc_id."""
     return tokens.encoded(docs, tokenizer_path(), END_ID)
 
 
@@ -46,6 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over what each stage before it kept; an empty documents table gives none."""
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
