@@ -134,7 +134,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     comp, _ = linked(buckets, sketches, near, confirm)
     named = first.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
+    rows = sig.select("doc_id", "n_shingles", "digest")
+    # Texts without shingles don't meet in the partition of the null key.
+    out = rows.where("digest is not null").join(named.hint("merge"), "digest", "left").unionByName(rows.where("digest is null").withColumn("component_id", F.lit(None).cast("long")))
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", known.alias("component_id"), F.col("doc_id").eqNullSafe(known).alias("kept"))
 

@@ -83,16 +83,17 @@ def log_tail(x: int, n: int, p: float) -> float:
     if p >= 1:
         return float(x >= n)
     k = np.arange(x + 1)
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in k]) + k * math.log(p) + (n - k) * math.log1p(-p)
+    ways = np.concatenate([[0.0], np.cumsum(np.log((n - k[1:] + 1) / k[1:]))])
+    logs = ways + k * math.log(p) + (n - k) * math.log1p(-p)
     return float(np.exp(logs - logs.max()).sum() * math.exp(logs.max()))
 
 
 def upper_bound(x: int, n: int, chance: float) -> float:
-    """Exact (Clopper-Pearson) upper bound of a rate of which x of n were seen, wrong with probability `chance`."""
+    """Exact (Clopper-Pearson) upper bound of a rate of which x of n were seen, wrong with probability `chance`; bisected to 1e-12."""
     if n == 0 or x >= n:
         return 1.0
     low, high = x / n, 1.0
-    for _ in range(60):
+    for _ in range(40):
         mid = (low + high) / 2
         low, high = (mid, high) if log_tail(x, n, mid) > chance else (low, mid)
     return high
@@ -149,7 +150,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
 
     docs: doc_id, text, the stratum column, and any others. labels: doc_id, quality; 1 is good,
     others and nulls are not used. base_failed: under 20 words, or over 30 % of the words in
-    repeated windows. kept: neither that nor rejected by a rule. Null texts count as empty; a null
+    repeated windows. kept: neither that nor rejected by a rule; what base_failed rejects is no part of the rules' risk. Null texts count as empty; a null
     stratum is one of its own. Rows that repeat a doc_id are measured each. Without labels no
     rule rejects. Strata are names like languages: few enough for a row each on the driver.
     """
