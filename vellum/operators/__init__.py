@@ -1 +1 @@
-"""."""
+"""Operators on DataFrames: frequency lists and ranks."""

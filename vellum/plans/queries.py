@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import frequency
 from ..operators.ranking import ranked
 from ..sources import TABLES, read
+from . import rules
 
 #: (Spark, DuckDB) for each placeholder. Items of arrays come with their place.
 DIALECT = {
@@ -53,8 +54,11 @@ DIALECT = {
 }
 
 
+DIALECT |= rules.DIALECT
+
+
 def dialect(sql: str, k: int) -> str:
-    for _ in range(3):
+    for _ in range(4):
         for name, texts in DIALECT.items():
             sql = sql.replace(name, texts[k])
     if k:
@@ -63,7 +67,7 @@ def dialect(sql: str, k: int) -> str:
     return sql
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(rules.SQL)
 
 # Readings (here languages) with at least 2.5 % of a word and two tokens share its count in proportion.
 SQL["surface_share_split"] = """
@@ -149,12 +153,10 @@ SELECT CASE WHEN policy AND NOT reviewed THEN 'dropped' WHEN sensitive THEN 'top
 
 # Association of words with a language, p * log2(p / q), q smoothed by one.
 SQL["cooccur_pmi"] = """
-WITH dw AS (SELECT DISTINCT doc_id, lang, w FROM <words>),
-bg AS (SELECT w, count(*) AS df FROM dw GROUP BY w),
-fg AS (SELECT lang, w, count(*) AS n FROM dw GROUP BY lang, w),
+WITH fg AS (SELECT lang, w, count(DISTINCT doc_id) AS n FROM <words> GROUP BY lang, w), fb AS (SELECT lang, w, n, sum(n) OVER (PARTITION BY w) AS df FROM fg),
 docs AS (SELECT lang, count(*) AS docs FROM {documents} GROUP BY lang),
 total AS (SELECT count(*) AS total FROM {documents}),
-p AS (SELECT fg.lang, fg.w, n, CAST(n AS DOUBLE) / docs.docs AS p, (df + 1.0E0) / total.total AS q FROM fg JOIN bg ON fg.w = bg.w JOIN docs ON fg.lang = docs.lang CROSS JOIN total WHERE n >= 3)
+p AS (SELECT fb.lang, fb.w, n, CAST(n AS DOUBLE) / docs.docs AS p, (df + 1.0E0) / total.total AS q FROM fb JOIN docs ON fb.lang = docs.lang CROSS JOIN total WHERE n >= 3)
 SELECT lang, w, CAST(n AS BIGINT) AS n, round(CASE WHEN p <= q THEN 0E0 ELSE p * log2(p / q) END, 6) AS score FROM p"""
 
 # Words of the first 400 sentences of each language and source, in corpus order.
@@ -181,20 +183,6 @@ SQL["passage_stats_by_level"] = """
 WITH s AS (SELECT doc_id, lang, count(*) AS n FROM <sentences> GROUP BY doc_id, lang)
 SELECT lang, count(*) AS passages, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, CAST(median(n) AS DOUBLE) AS middle FROM s GROUP BY lang"""
 
-# Levels by cumulative bands of rank, forced words first.
-SQL["level_bands"] = """
-WITH p AS (SELECT p_partkey, p_size = 50 AS forced, row_number() OVER (ORDER BY CASE WHEN p_size = 50 THEN 0 ELSE 1 END, p_retailprice DESC, p_partkey) AS r FROM {part})
-SELECT p_partkey, forced, CASE WHEN r <= 500 THEN 'A1' WHEN r <= 1000 THEN 'A2' WHEN r <= 1500 THEN 'B1' ELSE 'B2' END AS level FROM p"""
-
-# Frozen ids are reused by their first claimant; others get new ones after the highest.
-SQL["stable_ids"] = """
-WITH p AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS claim FROM {part}),
-frozen AS (SELECT p_name, min(p_partkey) AS id FROM {part} WHERE p_partkey % 3 = 0 GROUP BY p_name),
-j AS (SELECT p.p_partkey, CASE WHEN claim = 1 THEN f.id END AS id FROM p LEFT JOIN frozen f ON p.p_name = f.p_name),
-m AS (SELECT max(id) AS top FROM frozen),
-n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM j WHERE id IS NULL)
-SELECT j.p_partkey, 'w' || lpad(CAST(coalesce(j.id, m.top + n.k) AS VARCHAR(20)), 7, '0') AS id, j.id IS NOT NULL AS reused FROM j CROSS JOIN m LEFT JOIN n ON j.p_partkey = n.p_partkey"""
-
 # W06 without the term for earlier use.
 SQL["top2_examples"] = """
 WITH b AS (SELECT DISTINCT w FROM <benchmark words>), h AS (SELECT DISTINCT d.w, d.doc_id, lang FROM <words> d JOIN b ON b.w = d.w),
@@ -277,8 +265,8 @@ FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source"""
 # Old keys without a target, and targets claimed twice.
 SQL["legacy_migrate_unmapped"] = """
 WITH old AS (SELECT DISTINCT l_partkey AS k FROM {lineitem}), m AS (SELECT p_partkey AS k, p_size AS target FROM {part} WHERE p_size > 5),
-j AS (SELECT old.k, m.target, row_number() OVER (PARTITION BY m.target ORDER BY old.k) AS claim FROM old LEFT JOIN m ON old.k = m.k)
-SELECT CASE WHEN target IS NULL THEN 'unmapped' WHEN claim > 1 THEN 'duplicate target' ELSE 'mapped' END AS state, count(*) AS n, min(k) AS first_key FROM j GROUP BY 1"""
+u AS (SELECT old.k FROM old LEFT JOIN m ON old.k = m.k WHERE m.k IS NULL), j AS (SELECT old.k, row_number() OVER (PARTITION BY m.target ORDER BY old.k) AS claim FROM old JOIN m ON old.k = m.k)
+SELECT 'unmapped' AS state, count(*) AS n, min(k) AS first_key FROM u HAVING count(*) > 0 UNION ALL SELECT CASE WHEN claim > 1 THEN 'duplicate target' ELSE 'mapped' END, count(*), min(k) FROM j GROUP BY 1"""
 
 # What either of two versions of a table has alone or otherwise.
 SQL["roundtrip_diff"] = """
@@ -314,9 +302,9 @@ c AS (SELECT q.p_partkey, x.p_partkey AS other, CASE WHEN x.p_size = q.p_size TH
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, other) AS k FROM c)
 SELECT p_partkey, other, CAST(tier AS BIGINT) AS tier, CAST(k AS BIGINT) AS k FROM r WHERE k <= 3"""
 
-# The nearest other words by edit distance, among the commonest.
+# The nearest other words by edit distance, among the two hundred commonest, in letters without their marks (DuckDB counts the bytes of those).
 SQL["edit_distance_nearest"] = """
-WITH c AS (SELECT w, count(*) AS n FROM <words> WHERE length(w) > 3 AND w = regexp_extract(w, '[a-z]+', 0) GROUP BY w), t AS (SELECT w FROM (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS r FROM c) x WHERE r <= 200),
+WITH c AS (SELECT <fold w> AS w, count(*) AS n FROM <words> WHERE length(w) > 3 GROUP BY <fold w>), t AS (SELECT w FROM (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS r FROM c) x WHERE r <= 200),
 d AS (SELECT a.w, b.w AS other, levenshtein(a.w, b.w) AS distance FROM t a JOIN t b ON a.w <> b.w),
 r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY distance, other) AS k FROM d)
 SELECT w, other, CAST(distance AS BIGINT) AS distance FROM r WHERE k <= 3"""
@@ -336,10 +324,8 @@ SELECT lower(w) AS surface, lang, count(*) AS n, count(CASE WHEN pos = 0 THEN 1
 
 # Bound share, sentences with the phrase over those with its first word.
 SQL["bound_share"] = """
-WITH t AS (SELECT doc_id, lang, spos, pos, lower(w) AS w FROM <cased>),
-b AS (SELECT a.lang, a.w, b.w AS follower, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.spos = b.spos AND b.pos = a.pos + 1 GROUP BY a.lang, a.w, b.w),
-c AS (SELECT lang, w, count(*) AS total FROM t GROUP BY lang, w)
-SELECT b.lang, b.w, b.follower, b.n, c.total FROM b JOIN c ON b.lang = c.lang AND b.w = c.w WHERE b.n >= 5 AND b.n * 2 >= c.total"""
+WITH b AS (SELECT lang, w, follower, count(*) AS n FROM <pairs> GROUP BY lang, w, follower), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY lang, w) AS BIGINT) AS total FROM b)
+SELECT lang, w, follower, n, total FROM c WHERE follower IS NOT NULL AND n >= 5 AND n * 2 >= total"""
 
 # ST05: the latest attempt, and how many there were.
 SQL["latest_attempt"] = """
@@ -386,6 +372,44 @@ def freq_rank_blend_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("word", "rank_a", "rank_b", "rank_c", F.round("score", 6).alias("score"))
 
 
+#: Levels and the share of all items that they and those before them hold.
+BANDS = (("A1", 0.25), ("A2", 0.5), ("B1", 0.75), ("B2", 1.0))
+
+
+def level_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels by cumulative bands of rank, forced words first."""
+    part = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") == 50).alias("forced"), "p_retailprice")
+    rows = ranked(part, "r", F.col("forced").desc(), F.col("p_retailprice").desc(), "p_partkey")
+    n = F.broadcast(part.agg(F.count("*").alias("n")))
+    level = F.coalesce(*[F.when(F.col("r") <= F.floor(F.col("n") * share), name) for name, share in BANDS])
+    return rows.crossJoin(n).select("p_partkey", "forced", level.alias("level"))
+
+
+BANDS_SQL = """
+WITH p AS (SELECT p_partkey, p_size = 50 AS forced, row_number() OVER (ORDER BY CASE WHEN p_size = 50 THEN 0 ELSE 1 END, p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM part)
+SELECT p_partkey, forced, CASE WHEN r <= floor(n * 0.25) THEN 'A1' WHEN r <= floor(n * 0.5) THEN 'A2' WHEN r <= floor(n * 0.75) THEN 'B1' ELSE 'B2' END AS level FROM p"""
+
+
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen ids (every third part's, a made-up earlier version) are reused by their first claimant; others get new ones after the highest."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    frozen = part.where("p_partkey % 3 = 0").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+    claims = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")).join(frozen, "p_name").select("p_partkey", "id")
+    old = part.join(claims, "p_partkey").select("p_partkey", "id", F.lit(True).alias("reused"))
+    top = F.broadcast(frozen.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
+    new = ranked(part.join(claims, "p_partkey", "left_anti").select("p_partkey"), "k", "p_partkey").crossJoin(top)
+    out = old.union(new.select("p_partkey", F.col("top") + F.col("k"), F.lit(False)))
+    return out.select("p_partkey", F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("id"), "reused")
+
+
+IDS_SQL = """
+WITH p AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS claim FROM part),
+frozen AS (SELECT p_name, min(p_partkey) AS id FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name),
+j AS (SELECT p.p_partkey, CASE WHEN claim = 1 THEN f.id END AS id FROM p LEFT JOIN frozen f ON p.p_name = f.p_name),
+m AS (SELECT max(id) AS top FROM frozen),
+n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM j WHERE id IS NULL)
+SELECT j.p_partkey, 'w' || lpad(CAST(coalesce(j.id, m.top + n.k) AS VARCHAR), 7, '0') AS id, j.id IS NOT NULL AS reused FROM j CROSS JOIN m LEFT JOIN n ON j.p_partkey = n.p_partkey"""
+
 _RANKS = r"""a AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS rank_a FROM (SELECT unnest(regexp_extract_all(lower(text), '\pL+')) AS word FROM documents) GROUP BY word),
 b AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS rank_b FROM (SELECT unnest(regexp_extract_all(lower(text), '\pL+')) AS word FROM conversations WHERE role = 'user') GROUP BY word)"""
 BLEND_SQL = f"WITH {_RANKS}, s AS (SELECT a.word, rank_a, rank_b, (ln(rank_a) + ln(rank_b)) / 2 AS score FROM a JOIN b ON a.word = b.word) SELECT word, rank_a, rank_b, round(score, 6) AS score, row_number() OVER (ORDER BY score, word) AS rank FROM s"
@@ -395,8 +419,8 @@ SELECT a.word, rank_a, rank_b, coalesce(rank_c, last) AS rank_c, round((ln(rank_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"freq_rank_blend": freq_rank_blend, "freq_rank_blend_weighted": freq_rank_blend_weighted} | {n: sql_query(n) for n in SQL}
+    return {f.__name__: f for f in (freq_rank_blend, freq_rank_blend_weighted, level_bands, stable_ids)} | {n: sql_query(n) for n in SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"freq_rank_blend": BLEND_SQL, "freq_rank_blend_weighted": WEIGHTED_SQL} | {n: dialect(t, 1) for n, t in SQL.items()}
+    return {"freq_rank_blend": BLEND_SQL, "freq_rank_blend_weighted": WEIGHTED_SQL, "level_bands": BANDS_SQL, "stable_ids": IDS_SQL} | {n: dialect(t, 1) for n, t in SQL.items()}
