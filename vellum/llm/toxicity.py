@@ -81,9 +81,12 @@ class Net:
         self.known: dict[bytes, int] = {}
         self.gates = None
 
+    @staticmethod
+    def rows_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w in words], np.int64), *char_rows(words)
+
     def inputs(self, words: list[bytes]):
-        rows = np.array([xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w in words], np.int64)
-        chars, starts = char_rows(words)
+        rows, chars, starts = self.rows_of(words)
         x = np.concatenate([self.p["words"][rows], np.add.reduceat(self.p["chars"][chars], starts, axis=0), self.p["word_vectors"][rows], np.add.reduceat(self.p["char_vectors"][chars], starts, axis=0)], axis=1)
         return x, rows, chars, starts
 
@@ -197,19 +200,30 @@ class Net:
         if not len(texts) or labels.min() == labels.max():
             return self
         rng = np.random.default_rng(seed)
-        split = [words_of(t) for t in texts]
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
+        # The words of one text at a time are objects; the others are numbers.
+        vocabulary: dict[bytes, int] = {}
+        numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
         words = list(vocabulary)
         if not words:
             return self
-        _, rows, chars, starts = self.inputs(words)
-        runs = np.split(chars, starts[1:])
-        held = [(np.unique(rows[[vocabulary[w] for w in set(s)]]), np.unique(np.concatenate([runs[vocabulary[w]] for w in set(s)]))) if s else None for s in split]
+        parts = [self.rows_of(words[a : a + 20_000]) for a in range(0, len(words), 20_000)]
+        rows, chars = np.concatenate([x[0] for x in parts]).astype(np.int32), np.concatenate([x[1] for x in parts]).astype(np.int32)
+        sizes = np.concatenate([np.diff(np.append(x[2], len(x[1]))) for x in parts])
+        starts = np.cumsum(sizes) - sizes
+
+        def held_by(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+            if not len(ids):
+                return None
+            ids = np.unique(ids)
+            own = sizes[ids]
+            at = np.repeat(starts[ids] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            return np.unique(rows[ids]), np.unique(chars[at])
+
+        held = [held_by(ids) for ids in numbers]
         rare = {name: np.bincount(np.concatenate([h[k] for h in held if h]), minlength=n) < MIN_TEXTS for k, (name, n) in enumerate((("word_vectors", WORD_ROWS), ("char_vectors", CHAR_ROWS)))}
         fold = rng.integers(0, FOLDS, len(texts))
         whole = self.row_values(held, labels, np.ones(len(texts), bool))
         others = [self.row_values(held, labels, fold != f) for f in range(FOLDS)]
-        numbers = [np.array([vocabulary[w] for w in s], np.int64) for s in split]
         share = float(labels.mean())
         weight = np.sqrt(0.5 / np.where(labels == 1, share, 1 - share))
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
@@ -227,7 +241,7 @@ class Net:
                 inputs[0][:, 2:] *= on
                 gates = self.gates_of(inputs[0])
                 at, mask, text = self.laid_out(ids, [len(numbers[i]) for i in some])
-                logit, _ = self.windows(gates, at, mask)
+                logit = np.concatenate([self.windows(gates, at[:, a : a + 4096], mask[:, a : a + 4096])[0] for a in range(0, at.shape[1], 4096)])
                 rank = np.lexsort((logit, text))
                 top = rank[np.searchsorted(text[rank], np.arange(len(some)), side="right") - 1]
                 logit, memory = self.windows(gates, at[:, top], mask[:, top], True)
