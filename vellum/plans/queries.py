@@ -54,7 +54,7 @@ DIALECT = {
 }
 
 
-DIALECT |= rules.DIALECT
+DIALECT |= rules.DIALECT | {"<forty letters>": ("[A-Za-z]{{40,}}", "[A-Za-z]{40,}")}
 
 
 def dialect(sql: str, k: int) -> str:
@@ -146,10 +146,12 @@ WITH s AS (SELECT *, <tokens in s> AS n FROM <sentences>),
 r AS (SELECT lang, CASE WHEN length(s) < 4 THEN 'short' WHEN s LIKE '%|%' THEN 'bad text' WHEN s = upper(s) AND s <> lower(s) THEN 'shouted' WHEN n < 3 THEN 'too few' WHEN n > 14 THEN 'too many' ELSE 'kept' END AS reason FROM s)
 SELECT lang, reason, count(*) AS n FROM r GROUP BY lang, reason"""
 
-# Sensitive texts go to the top level, except hand-reviewed ones.
-SQL["sensitive_split"] = """
-WITH f AS (SELECT d.doc_id, lower(text) LIKE '%idiot%' OR lower(text) LIKE '%scum%' AS sensitive, lower(text) LIKE '%password=%' AS policy, l.quality IS NOT NULL AS reviewed FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id)
-SELECT CASE WHEN policy AND NOT reviewed THEN 'dropped' WHEN sensitive THEN 'top' ELSE 'any' END AS level, reviewed, count(*) AS n FROM f GROUP BY 1, 2"""
+# Sensitive texts go to the top level; a policy drops them everywhere, except hand-reviewed ones; subjects have a ceiling, but not in medicine.
+SQL["sensitive_split"] = r"""
+WITH d AS (SELECT doc_id, lower(text) AS t FROM {documents}),
+f AS (SELECT d.doc_id, regexp_extract(t, '(^|[^\pL])(idiot|scum|stupid|moron|worthless|hate)', 0) <> '' AS sensitive, regexp_extract(t, '(password|api[_-]?key|secret) *[=:]', 0) <> '' AS policy,
+  regexp_extract(t, '(^|[^\pL])(drugs?|weapons?|beer|whisky)([^\pL]|$)', 0) <> '' AND regexp_extract(t, '(^|[^\pL])(medic|clinic|doctor)', 0) = '' AS ceiling, l.quality IS NOT NULL AS reviewed FROM d LEFT JOIN {labels} l ON d.doc_id = l.doc_id)
+SELECT CASE WHEN policy AND NOT reviewed THEN 'dropped' WHEN sensitive OR ceiling THEN 'top' ELSE 'any' END AS level, reviewed, count(*) AS n FROM f GROUP BY 1, 2"""
 
 # Association of words with a language, p * log2(p / q), q smoothed by one.
 SQL["cooccur_pmi"] = """
@@ -284,16 +286,18 @@ UNION ALL SELECT 'customer without order', count(*) FROM {customer} c LEFT JOIN
 UNION ALL SELECT 'line without part', count(*) FROM {lineitem} l LEFT JOIN {part} p ON l_partkey = p_partkey WHERE p_partkey IS NULL
 UNION ALL SELECT 'label without document', count(*) FROM {labels} l LEFT JOIN {documents} d ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL"""
 
-# Junk patterns.
-SQL["gloss_patterns"] = """
-WITH p AS (SELECT doc_id, text LIKE '%|%' AS bars, text LIKE '%!!%' AS shouts, text LIKE '%***%' AS stars, lower(text) LIKE '%all rights reserved%' AS rights FROM {documents})
-SELECT 'bars' AS pattern, count(*) AS n, min(doc_id) AS first_doc FROM p WHERE bars UNION ALL SELECT 'shouts', count(*), min(doc_id) FROM p WHERE shouts UNION ALL SELECT 'stars', count(*), min(doc_id) FROM p WHERE stars UNION ALL SELECT 'rights', count(*), min(doc_id) FROM p WHERE rights"""
+# Junk patterns, with the first text of each.
+SQL["gloss_patterns"] = r"""
+WITH x AS (SELECT 'bars' AS pattern, '[|]' AS rx UNION ALL SELECT 'shouts', '!!' UNION ALL SELECT 'stars', '[*][*][*]' UNION ALL SELECT 'rights', '(?i)all rights reserved' UNION ALL SELECT 'blank before a mark', ' [,.;]' UNION ALL SELECT 'open bracket', '[(][^)]*$'
+  UNION ALL SELECT 'empty bracket', '[(] *[)]' UNION ALL SELECT 'article alone', '(?i)(^|\n)(the|a|an|el|la|der|die|das|le) *(\n|$)' UNION ALL SELECT 'address', 'https?://' UNION ALL SELECT 'long run', '<forty letters>')
+SELECT pattern, count(*) AS n, min(doc_id) AS first_doc FROM {documents} CROSS JOIN x WHERE regexp_extract(text, rx, 0) <> '' GROUP BY pattern"""
 
-# Spans that begin before the one before them ends.
+# Spans of frequent pairs that begin before the one before them ends.
 SQL["span_overlap_violations"] = """
-WITH s AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS a, CAST(floor(value) AS BIGINT) + event_id % 3 AS b FROM {events}),
-o AS (SELECT user_id, event_id, a, max(b) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM s)
-SELECT user_id, count(*) AS spans, count(CASE WHEN a < past THEN 1 END) AS overlaps FROM o GROUP BY user_id"""
+WITH t AS (SELECT doc_id, spos, pos, lower(w) AS w, lower(lead(w) OVER (PARTITION BY doc_id, spos ORDER BY pos)) AS next FROM <cased>), b AS (SELECT w, next FROM t WHERE next IS NOT NULL GROUP BY w, next HAVING count(*) >= 10),
+s AS (SELECT t.doc_id, t.spos, t.pos AS a, t.pos + 2 AS z FROM t JOIN b ON t.w = b.w AND t.next = b.next),
+o AS (SELECT doc_id, a, max(z) OVER (PARTITION BY doc_id, spos ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM s)
+SELECT doc_id, count(*) AS spans, count(CASE WHEN a < past THEN 1 END) AS overlaps FROM o GROUP BY doc_id"""
 
 # Candidates of the same class in tiers; another gloss, another surface.
 SQL["distractor_pool"] = """

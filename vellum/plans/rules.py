@@ -36,6 +36,8 @@ DIALECT = {
     ),
     "<draw of id>": ("CAST(conv(substring(md5(CAST(CAST(id AS STRING) AS BINARY)), 1, 8), 16, 10) AS DOUBLE) / 4294967296.0E0", "CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0"),
     "<hash of id>": ("md5(CAST(concat('303|', CAST(id AS STRING)) AS BINARY))", "md5(concat('303|', CAST(id AS VARCHAR)))"),
+    "<hash of part and seed>": ("md5(CAST(concat(CAST(seed AS STRING), '|', CAST(p_partkey AS STRING)) AS BINARY))", "md5(concat(CAST(seed AS VARCHAR), '|', CAST(p_partkey AS VARCHAR)))"),
+    "<two or three letters>": ("^[a-z]{{2,3}}", "^[a-z]{2,3}"),
     "<is a record>": ("j LIKE '{{%' AND json_object_keys(j) IS NOT NULL", "j LIKE '{%' AND json_valid(j)"),
     "<has k>": ("get_json_object(j, '$.k') IS NOT NULL", "json_extract_string(CASE WHEN json_valid(j) THEN j END, '$.k') IS NOT NULL"),
     "<as a date>": ("try_cast(d AS DATE)", "try_cast(d AS DATE)"),
@@ -318,3 +320,59 @@ WITH c AS (SELECT w, count(*) AS n FROM <words> GROUP BY w), d AS (SELECT w, cou
 a AS (SELECT w, r FROM (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS r FROM c) x WHERE r <= 2000), b AS (SELECT w, r FROM (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS r FROM d) x WHERE r <= 2000),
 x AS (SELECT CASE WHEN a.r <= 500 THEN 'A' WHEN a.r <= 2000 THEN 'B' ELSE 'C' END AS own, CASE WHEN b.r <= 500 THEN 'A' WHEN b.r <= 2000 THEN 'B' ELSE 'C' END AS other FROM c JOIN d ON c.w = d.w LEFT JOIN a ON c.w = a.w LEFT JOIN b ON c.w = b.w)
 SELECT own, other, count(*) AS n FROM x GROUP BY own, other"""
+
+# Entries with a sense that isn't marked.
+SQL["usable_entries"] = """
+SELECT o_orderkey, count(l_orderkey) AS senses, count(CASE WHEN l_returnflag <> 'R' AND l_discount < 0.08 THEN 1 END) > 0 AS usable FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey"""
+
+# Kinds of items that a pool has four options for.
+SQL["option_fit"] = """
+SELECT p_brand AS pool, count(DISTINCT p_name) >= 4 AS by_name, count(DISTINCT p_type) >= 4 AS by_type, count(DISTINCT p_size) >= 4 AS by_size, count(DISTINCT p_name) AS names FROM {part} GROUP BY p_brand"""
+
+# Parts of a pool that would be a second right answer for each other: one name, another part.
+SQL["second_answers"] = """
+WITH c AS (SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_name) - 1 AS same_name, count(*) OVER (PARTITION BY p_brand, p_type, p_size) - 1 AS same_kind FROM {part})
+SELECT p_partkey, same_name, same_kind FROM c WHERE same_name > 0 OR same_kind > 0"""
+
+# Words of names that others in the pool share.
+SQL["shared_surfaces"] = """
+WITH w AS (SELECT p_brand, p_partkey, split_part(p_name, ' ', 1) AS s FROM {part} UNION SELECT p_brand, p_partkey, split_part(p_name, ' ', 2) FROM {part}), c AS (SELECT p_partkey, s, count(*) OVER (PARTITION BY p_brand, s) - 1 AS others FROM w WHERE s <> '')
+SELECT p_partkey, CAST(sum(others) AS BIGINT) AS sharing, min(CASE WHEN others > 0 THEN s END) AS first_shared FROM c GROUP BY p_partkey"""
+
+# P20: flags of a pack that its parts give, with defaults.
+SQL["feature_flags"] = """
+SELECT n_name AS pack, count(c_custkey) > 0 AS has_words, coalesce(max(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 END), 0) = 1 AS typing, coalesce(max(CASE WHEN c_acctbal < 0 THEN 1 END), 0) = 1 AS tones, coalesce(min(c_mktsegment), 'none') AS first_segment
+FROM {nation} LEFT JOIN {customer} ON n_nationkey = c_nationkey GROUP BY n_name"""
+
+# Function words: short and common in their language.
+SQL["function_words"] = """
+WITH c AS (SELECT lang, w, count(*) AS n FROM <words> GROUP BY lang, w), r AS (SELECT lang, w, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM c)
+SELECT lang, w, n FROM r WHERE r <= 30 AND length(w) <= 4"""
+
+# Records cut to the fields that are shipped.
+SQL["shipped_fields"] = "SELECT p_partkey AS id, lower(trim(p_name)) AS w, p_brand AS lv, p_type AS pos, CAST(p_size AS BIGINT) AS set FROM {part} WHERE p_size <= 40"
+
+# Language tags, and direction by the language.
+SQL["language_tags"] = """
+SELECT lang, concat(lang, '-', upper(lang)) AS tag, regexp_extract(concat(lang, '-', upper(lang)), '<two or three letters>', 0) AS key, CASE WHEN lang IN ('ar', 'fa', 'ur', 'he') THEN 'rtl' ELSE 'ltr' END AS direction, count(*) AS n FROM {documents} GROUP BY lang"""
+
+# Units with their first word.
+SQL["unit_heads"] = """
+WITH u AS (SELECT item_id, regexp_extract(lower(text), '[a-z]+', 0) AS head FROM {benchmark}), c AS (SELECT w, count(*) AS n FROM <words> GROUP BY w)
+SELECT item_id, head, coalesce(n, 0) AS n FROM u LEFT JOIN c ON u.head = c.w"""
+
+# Tokens side by side that make a dictionary word.
+SQL["merged_compounds"] = """
+WITH c AS (SELECT w FROM <words> GROUP BY w HAVING count(*) >= 5), b AS (SELECT w, follower, count(*) AS n FROM <pairs> WHERE follower IS NOT NULL GROUP BY w, follower)
+SELECT b.w, b.follower, b.n, c.w AS compound FROM b JOIN c ON concat(b.w, b.follower) = c.w WHERE b.n >= 2"""
+
+# Words whose second reading has a fifth of their tokens, which split off as entries of their own.
+SQL["split_entries"] = """
+WITH c AS (SELECT w, lang, count(*) AS n FROM <words> GROUP BY w, lang), r AS (SELECT w, lang, n, sum(n) OVER (PARTITION BY w) AS total, row_number() OVER (PARTITION BY w ORDER BY n DESC, lang) AS k FROM c)
+SELECT w, lang, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM r WHERE k > 1 AND n * 5 >= total AND total >= 10"""
+
+# The fewest options of an item over eight seeded draws of its pool.
+SQL["fewest_options"] = """
+WITH s AS (SELECT 0 AS seed UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7),
+d AS (SELECT p_brand, seed, p_name, row_number() OVER (PARTITION BY p_brand, seed ORDER BY <hash of part and seed>, p_partkey) AS k FROM {part} CROSS JOIN s)
+SELECT p_brand AS pool, min(n) AS fewest FROM (SELECT p_brand, seed, count(DISTINCT p_name) AS n FROM d WHERE k <= 4 GROUP BY p_brand, seed) x GROUP BY p_brand"""
