@@ -54,7 +54,7 @@ DIALECT = {
 }
 
 
-DIALECT |= rules.DIALECT | {"<forty letters>": ("[A-Za-z]{{40,}}", "[A-Za-z]{40,}")}
+DIALECT |= rules.DIALECT | {"<forty letters>": ("[A-Za-z]{{40,}}", "[A-Za-z]{40,}"), "<no letter>": (r"[^\\pL]", r"[^\pL]"), "<new line>": (r"\\n", r"\n")}
 
 
 def dialect(sql: str, k: int) -> str:
