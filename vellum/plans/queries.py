@@ -149,8 +149,8 @@ SELECT lang, reason, count(*) AS n FROM r GROUP BY lang, reason"""
 # Sensitive texts go to the top level; a policy drops them everywhere, except hand-reviewed ones; subjects have a ceiling, but not in medicine.
 SQL["sensitive_split"] = r"""
 WITH d AS (SELECT doc_id, lower(text) AS t FROM {documents}),
-f AS (SELECT d.doc_id, regexp_extract(t, '(^|[^\pL])(idiot|scum|stupid|moron|worthless|hate)', 0) <> '' AS sensitive, regexp_extract(t, '(password|api[_-]?key|secret) *[=:]', 0) <> '' AS policy,
-  regexp_extract(t, '(^|[^\pL])(drugs?|weapons?|beer|whisky)([^\pL]|$)', 0) <> '' AND regexp_extract(t, '(^|[^\pL])(medic|clinic|doctor)', 0) = '' AS ceiling, l.quality IS NOT NULL AS reviewed FROM d LEFT JOIN {labels} l ON d.doc_id = l.doc_id)
+f AS (SELECT d.doc_id, regexp_extract(t, '(^|<no letter>)(idiot|scum|stupid|moron|worthless|hate)', 0) <> '' AS sensitive, regexp_extract(t, '(password|api[_-]?key|secret) *[=:]', 0) <> '' AS policy,
+  regexp_extract(t, '(^|<no letter>)(drugs?|weapons?|beer|whisky)(<no letter>|$)', 0) <> '' AND regexp_extract(t, '(^|<no letter>)(medic|clinic|doctor)', 0) = '' AS ceiling, l.quality IS NOT NULL AS reviewed FROM d LEFT JOIN {labels} l ON d.doc_id = l.doc_id)
 SELECT CASE WHEN policy AND NOT reviewed THEN 'dropped' WHEN sensitive OR ceiling THEN 'top' ELSE 'any' END AS level, reviewed, count(*) AS n FROM f GROUP BY 1, 2"""
 
 # Association of words with a language, p * log2(p / q), q smoothed by one.
@@ -289,7 +289,7 @@ UNION ALL SELECT 'label without document', count(*) FROM {labels} l LEFT JOIN {d
 # Junk patterns, with the first text of each.
 SQL["gloss_patterns"] = r"""
 WITH x AS (SELECT 'bars' AS pattern, '[|]' AS rx UNION ALL SELECT 'shouts', '!!' UNION ALL SELECT 'stars', '[*][*][*]' UNION ALL SELECT 'rights', '(?i)all rights reserved' UNION ALL SELECT 'blank before a mark', ' [,.;]' UNION ALL SELECT 'open bracket', '[(][^)]*$'
-  UNION ALL SELECT 'empty bracket', '[(] *[)]' UNION ALL SELECT 'article alone', '(?i)(^|\n)(the|a|an|el|la|der|die|das|le) *(\n|$)' UNION ALL SELECT 'address', 'https?://' UNION ALL SELECT 'long run', '<forty letters>')
+  UNION ALL SELECT 'empty bracket', '[(] *[)]' UNION ALL SELECT 'article alone', '(?i)(^|<new line>)(the|a|an|el|la|der|die|das|le) *(<new line>|$)' UNION ALL SELECT 'address', 'https?://' UNION ALL SELECT 'long run', '<forty letters>')
 SELECT pattern, count(*) AS n, min(doc_id) AS first_doc FROM {documents} CROSS JOIN x WHERE regexp_extract(text, rx, 0) <> '' GROUP BY pattern"""
 
 # Spans of frequent pairs that begin before the one before them ends.
