@@ -61,3 +61,11 @@ def test_plans():
         items = [i for _, i in plan]
         assert len(plan) == 15 == len(set(items)) and {"u1", "w7", "w8"} <= set(items) and "u2" not in items
         assert sum(k in ("recall", "type") for k, i in plan if i[0] == "w") >= 0.4 * sum(i[0] == "w" for i in items)
+
+
+def test_groups_of_paths_and_stars(spark):
+    from vellum.operators.graph import groups
+
+    links = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 9)] + [(300, 200), (None, 1), (5, 5)]
+    got = {r.item: r.root for r in groups(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(9)}, 200: 200, 300: 200}

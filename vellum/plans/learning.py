@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences, text
-from ..operators import frequency
+from ..operators import frequency, graph
 from ..sources import read
 from ..streaming import records
+from .rules import ACCENTED, PLAIN
 
 #: Dictionaries of up to so many words go to every worker; larger ones are an error, as segmenting needs them whole.
 MOST_WORDS = 1_000_000
@@ -74,6 +75,18 @@ def phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("phrase").agg(F.count("*").alias("sentences"), F.countDistinct("doc_id").alias("documents"))
 
 
+#: Spellings of a word that are one for a reader: without marks, or with digraphs for German letters.
+_LINKS = """
+WITH v AS (SELECT DISTINCT word FROM {words}), k AS (SELECT word, translate(word, '{accented}', '{plain}') AS f, replace(replace(replace(replace(word, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') AS d FROM v)
+SELECT k.word AS a, v.word AS b FROM k JOIN v ON k.f = v.word AND k.word <> v.word UNION SELECT k.word, v.word FROM k JOIN v ON k.d = v.word AND k.word <> v.word"""
+
+
+def word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that links of spelling connect, with the least of each group."""
+    sql = _LINKS.replace("{accented}", ACCENTED).replace("{plain}", PLAIN)
+    return graph.groups(spark.sql(sql, words=distinct_words(spark, sf_dir).select("word"))).select(F.col("item").alias("word"), F.col("root").alias("first_word"))
+
+
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of either direction in each turn of a conversation."""
     runs = text.arrow_column(lambda s: len(text.rtl_runs(s)), "long", "text")
@@ -88,14 +101,18 @@ def streamed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (accent_folds, search_keys, segmented_items, heard_questions, phrase_counts, text_runs, streamed_records)}
+    return {f.__name__: f for f in (accent_folds, search_keys, segmented_items, heard_questions, phrase_counts, word_groups, text_runs, streamed_records)}
 
 
 _WORDS = r"(SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\pL+')) AS word FROM documents) GROUP BY word)"
 
 
 def oracle_sql() -> dict[str, str]:
+    links = _LINKS.replace("{accented}", ACCENTED).replace("{plain}", PLAIN).replace("{words}", _WORDS)
     return {
+        "word_groups": f"""
+WITH RECURSIVE l AS ({links}), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(word, g) AS (SELECT a, a FROM e UNION SELECT e.b, r.g FROM r JOIN e ON r.word = e.a)
+SELECT word, min(g) AS first_word FROM r GROUP BY word""",
         "accent_folds": f"SELECT word, strip_accents(word) AS folded, n FROM {_WORDS} WHERE strlen(word) > length(word)",
         "search_keys": f"SELECT word, strip_accents(replace(replace(replace(word, 'ñ', 'nn'), 'ã', 'an'), 'õ', 'on')) AS search_key FROM {_WORDS}",
         "streamed_records": """
