@@ -1,6 +1,7 @@
 import bz2
 import io
 import json
+import os
 import tarfile
 
 import pytest
@@ -78,6 +79,32 @@ def test_streams_fold_records_over_batches(spark, tmp_path):
                 want[u, k] = records.folded(record, [ok]), seen + 1
         text = "".join(json.dumps({"user_id": u, "k": k, "ok": ok, "prov": prov, "ts": f"2024-01-01T00:00:{e:02d}", "event_id": e}) + "\n" for u, k, ok, prov, e in rows)
         (tmp_path / f"{n}.json").write_text(text)
+        os.utime(tmp_path / f"{n}.json", (1_700_000_000 + 60 * n,) * 2)  # files arrive in the order of their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}")
     got = {(r.user_id, r.k): ((r.r, r.w, r.s, r.prov), r.n) for r in records.caught_up(records.record_stream(stream)).collect()}
     assert got == want and got[1, 1] == ((3, 1, 0, False), 4) and got[1, 2][0][3] is False
+
+
+def test_extra_rows_and_rewritten_json(spark, tmp_path):
+    (tmp_path / "x.tsv").write_text("b\tB\nbad\na\tA\n")
+    extra = files.extra_rows(spark, f"file://{tmp_path}/x.tsv", ["t", "en"], 95_000)
+    assert [tuple(r) for r in extra.orderBy("id").collect()] == [(95_000, "b", "B"), (95_001, "a", "A")]
+    corpus = spark.createDataFrame([(1, "c")], "id long, t string")
+    assert files.with_extra_rows(corpus, extra).count() == 3
+    with pytest.raises(ValueError):
+        files.with_extra_rows(spark.createDataFrame([(95_000, "c")], "id long, t string"), extra)
+    text = '{\n  "a": {"script": [1,2]},\n "script" : [ 1,\n 2 ],   "z":"}"\n}\n'
+    assert files.rewritten_json(text, {"script": {"x": "é"}}) == text.replace("[ 1,\n 2 ]", '{"x": "é"}')
+    with pytest.raises(KeyError):
+        files.rewritten_json(text, {"none": 1})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from vellum.__main__ import main
+
+    assert main(["list"]) == 0 and "record_fold" in capsys.readouterr().out
+    assert main(["sql", "record_fold"]) == 0 and "GROUP BY" in capsys.readouterr().out
+    assert main(["compare", "level_bands", "--data", "/root/testdata/sf0.001"]) == 0
+    assert main(["run", "level_bands", "--data", "/root/testdata/sf0.001", "--out", f"file://{tmp_path}/out"]) == 0 and spark.read.parquet(f"file://{tmp_path}/out").count() == 200
+    with pytest.raises(SystemExit):
+        main(["run"])

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
 from ..operators.workers import importable
 
 #: A file's part that its writers leave alone, between these lines.
@@ -147,3 +148,42 @@ def signature(*columns: str) -> Column:
     """The first 16 hexadecimal digits of the SHA-1 of columns, nulls told from empty texts."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
     return F.substring(F.sha1(F.concat_ws("\x1f", *parts).cast("binary")), 1, 16)
+
+
+def extra_rows(spark: SparkSession, path: str, columns: list[str], first_id: int) -> DataFrame:
+    """(id, then columns) of tab-separated lines, numbered from first_id in the order of the file. Lines of other widths are left out."""
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("v"), F.monotonically_increasing_id().alias("place")).where(F.size("v") == len(columns))
+    rows = ranked(lines, "k", "place")
+    return rows.select((F.col("k") + first_id - 1).alias("id"), *[F.col("v")[i].alias(c) for i, c in enumerate(columns)])
+
+
+def with_extra_rows(corpus: DataFrame, extra: DataFrame) -> DataFrame:
+    """A corpus and the rows that are added to it; an id that the corpus has already is an error."""
+    clash = extra.join(corpus, "id", "left_semi").first()
+    if clash is not None:
+        raise ValueError(f"id {clash['id']} is in the corpus already")
+    return corpus.unionByName(extra, allowMissingColumns=True)
+
+
+def rewritten_json(text: str, change: dict[str, object]) -> str:
+    """JSON text with the values of some top-level keys replaced and the rest, its layout too, left as it is. New keys are an error."""
+    decoder = json.JSONDecoder()
+    for key, value in change.items():
+        place, depth, at = None, 0, 0
+        while at < len(text):
+            c = text[at]
+            if c == '"':
+                found, end = decoder.raw_decode(text, at)
+                after = re.match(r"\s*:\s*", text[end:])
+                if depth == 1 and after and found == key:
+                    start = end + after.end()
+                    place = (start, decoder.raw_decode(text, start)[1])
+                    break
+                at = end
+                continue
+            depth += (c in "{[") - (c in "}]")
+            at += 1
+        if place is None:
+            raise KeyError(key)
+        text = text[: place[0]] + json.dumps(value, ensure_ascii=False) + text[place[1] :]
+    return text
