@@ -54,7 +54,7 @@ def written(links: DataFrame, used: list[DataFrame]) -> DataFrame:
     return out
 
 
-def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], tuple[DataFrame, list[DataFrame]]], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], tuple[DataFrame, list[DataFrame]]], rounds: int = 2, closer: tuple[DataFrame, Callable[[str, str], Column]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of ids that share a bucket and pass `near` and `confirm`, and the confirmed links used.
 
     buckets: (key, id, band), one row for each id in a bucket of two or more; an id is in one
@@ -67,7 +67,7 @@ def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[str, str], C
     every pair of a bucket that lies in different components, with one end outside the
     bucket's largest component; these are joined with the sketch test as a join
     condition, in the first bucket that they share, so that no link is lost and no failing pair
-    leaves the join.
+    leaves the join. closer: more columns (id, ...) for that join alone, some ids may lack them, and a sharper test on them.
     """
     links = None
     comp = None
@@ -91,11 +91,14 @@ def linked(buckets: DataFrame, sketches: DataFrame, near: Callable[[str, str], C
     now = buckets.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sized = now.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sized.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
-    rest = table(now.join(main.hint("merge"), "key").join(sketches, "id"), "rest")
+    rest = now.join(main.hint("merge"), "key").join(sketches, "id")
+    rest = table(rest.join(closer[0], "id", "left") if closer else rest, "rest")
     free_shuffles(rest.sparkSession)
     y, x = rest.alias("y"), rest.where("component <> main").alias("x")
     once = F.expr("forall(zip_with(slice(x.keys, 1, x.band), slice(y.keys, 1, x.band), (p, q) -> p <> q), z -> z)")
-    pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & near("x", "y") & once)
+    tested = near("x", "y") & once
+    tested = F.when(tested, closer[1]("x", "y")).otherwise(False) if closer else tested  # the sharper test only where it is needed
+    pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & tested)
     found = written(*confirm(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()))
     drop_table(rest)
     links = links.union(found)

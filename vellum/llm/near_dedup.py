@@ -22,6 +22,8 @@ from .common import WordHashes, list_array, map_batches, mixed, pieces, table, t
 from .components import linked
 
 BITS = 1024
+#: Sets of up to so many shingles are compared within the join of the last candidates, larger ones after it.
+SMALL_SET = 2048
 #: Up to so many repeated ids (8 bytes each) are sent to every executor; beyond, Spark joins by key.
 MOST_BROADCAST_IDS = 1_000_000
 _HASHES = WordHashes()
@@ -88,14 +90,15 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, hashes: int, seed
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of each row."""
+    """(id, shingles, small) of each row; small: the distinct first halves of the hashes, of sets of up to SMALL_SET shingles."""
 
     def run(batches):
         for batch in pieces(batches):
             sets = [shingle_set(t, k, _HASHES) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())], ["id", "shingles"])
+            small = pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) if len(s) <= SMALL_SET else None for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64()), small], ["id", "shingles", "small"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "id long, shingles array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "id long, shingles array<long>, small array<int>")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, hashes: int = 384, margin: float = 0.1) -> DataFrame:
@@ -132,7 +135,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         both = pairs.join(s, "a").join(t, "b").withColumn("i", F.size(F.array_intersect("p", "q")))
         return both.where(F.col("i") * 100 >= (F.size("p") + F.size("q") - F.col("i")) * percent).select("a", "b"), []
 
-    comp, _ = linked(buckets, sketches, near, confirm)
+    def possible(x: str, y: str):
+        # Shared shingles are shared first halves, but for those of one set that fall together.
+        most = F.size(F.array_intersect(f"{x}.small", f"{y}.small")) + F.col(f"{x}.n_shingles") - F.size(f"{x}.small")
+        known = F.col(f"{x}.small").isNotNull() & F.col(f"{y}.small").isNotNull()
+        return F.when(known, most * (100 + percent) >= (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")) * percent).otherwise(True)
+
+    comp, _ = linked(buckets, sketches, near, confirm, closer=(sets.select("id", "small"), possible))
     named = first.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     rows = sig.select("doc_id", "n_shingles", "digest")
     # Texts without shingles don't meet in the partition of the null key.
