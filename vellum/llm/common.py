@@ -96,7 +96,7 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
 class WordHashes:
     """64-bit hashes of words. A worker's memory of them is emptied when it has grown to `most`."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

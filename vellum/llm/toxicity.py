@@ -28,7 +28,7 @@ MIN_TEXTS, SHRINK = 3, 4
 #: Parts of the training texts; the values that a part trains on come from the others.
 FOLDS = 6
 #: Words whose inputs a worker keeps before it starts anew; bytes of a word that is one input, and by which the pieces of longer ones overlap.
-MOST_WORDS, LONG, OVERLAP = 500_000, 48, 4
+MOST_WORDS, LONG, OVERLAP = 300_000, 48, 4
 #: Share of the rate at which the trained vectors move, what they lose a step, and the share of a batch's words that go without
 #: theirs: the words of single texts shouldn't be learned by heart.
 VECTOR_RATE, VECTOR_DECAY, DROPPED = 0.02, 0.01, 0.5
@@ -79,7 +79,7 @@ class Net:
         for d in "fb":
             self.p |= {f"in_{d}": f(2 + 2 * EMBED, 3 * HIDDEN), f"b_{d}": np.zeros(3 * HIDDEN, np.float32), f"rec_{d}": f(HIDDEN, 3 * HIDDEN)}
         self.known: dict[bytes, int] = {}
-        self.gates = None
+        self.kept = None
 
     @staticmethod
     def rows_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,25 +264,26 @@ class Net:
     def scores(self, texts: list[bytes], most: int = 4096) -> np.ndarray:
         """Scores of whole texts; windows go through `most` at a time."""
         split = [words_of(t) for t in texts]
-        if self.gates is None or len(self.known) > MOST_WORDS:
-            self.known, self.gates = {}, np.zeros((0, 6 * HIDDEN), np.float32)
+        if self.kept is None or len(self.known) > MOST_WORDS:
+            self.known, self.kept = {}, np.zeros((0, 2 + 2 * EMBED), np.float32)
         known = self.known
         new = list(dict.fromkeys(w for s in split for w in s if w not in known))
         if new:
             for i, w in enumerate(new, len(known)):
                 known[w] = i
-            if len(self.gates) < len(known):
-                grown = np.zeros((max(len(known), 2 * len(self.gates)), 6 * HIDDEN), np.float32)
-                grown[: len(known) - len(new)] = self.gates[: len(known) - len(new)]
-                self.gates = grown
-            self.gates[len(known) - len(new) : len(known)] = self.gates_of(self.inputs(new)[0])
+            if len(self.kept) < len(known):
+                grown = np.zeros((max(len(known), 2 * len(self.kept)), 2 + 2 * EMBED), np.float32)
+                grown[: len(known) - len(new)] = self.kept[: len(known) - len(new)]
+                self.kept = grown
+            self.kept[len(known) - len(new) : len(known)] = self.inputs(new)[0]
         best = np.full(len(texts), self.p["bias"][0], np.float64)
         some = [i for i, s in enumerate(split) if s]
         if not some:
             return sigmoid(best)
-        ids = np.array([known[w] for i in some for w in split[i]], np.int64)
+        own, ids = np.unique(np.array([known[w] for i in some for w in split[i]], np.int32), return_inverse=True)
+        gates = self.gates_of(self.kept[own])
         at, mask, text = self.laid_out(ids, [len(split[i]) for i in some])
-        logits = np.concatenate([self.windows(self.gates, at[:, a : a + most], mask[:, a : a + most])[0] for a in range(0, at.shape[1], most)])
+        logits = np.concatenate([self.windows(gates, at[:, a : a + most], mask[:, a : a + most])[0] for a in range(0, at.shape[1], most)])
         best[some] = np.maximum.reduceat(logits, np.searchsorted(text, np.arange(len(some))))
         return sigmoid(best)
 
