@@ -30,6 +30,17 @@ def test_rows_are_those_of_the_sql(spark, duck, name):
     assert told(df.columns, df.collect()) == told(want.columns, want.fetchall())
 
 
+def test_means_that_are_a_half_exactly_round_up(spark, tmp_path):
+    # Right answers of all, by item; the mean of the percentages is 37.5, 62.5, 62.5 and, just below a half, 37.4.
+    means = [([(1, 6), (2, 12), (3, 9), (10, 12)], 38), ([(3, 6), (3, 11), (5, 12), (9, 11), (10, 11), (10, 12)], 63), ([(1, 6), (9, 12), (9, 12), (10, 12)], 63), ([(187, 500)], 37)]
+    users = [(u, items[u % len(items) :] + items[: u % len(items)], score) for u in range(240) for items, score in [means[u % 4]]]
+    rows = [(u, f'{{"k": {u * 7 + k}}}', "view" if i < right else "error") for u, items, _ in users for k, (right, n) in enumerate(items) for i in range(n)]
+    df = spark.createDataFrame(rows, "user_id long, props string, event_type string").selectExpr("monotonically_increasing_id() AS event_id", "timestamp'2024-01-01' AS ts", "*")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["reading_stats"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(u, len(items), score) for u, items, score in users]
+
+
 def test_entry_without_the_training_operators(spark):
     import __spark_entry__ as entry
 
