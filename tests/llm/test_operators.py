@@ -488,6 +488,23 @@ def test_pipeline_of_odd_and_no_rows(spark, tmp_path):
         assert (len(got) == 0) == (name == "none") and {r.doc_id for r in got} <= {i for i, _, _ in ODD}
 
 
+def test_workers_drop_what_earlier_operators_left(spark, monkeypatch):
+    import weakref
+
+    import pyarrow as pa
+
+    net = toxicity.Net()
+    net.scores([b"some words"])
+    left = weakref.ref(toxicity.loaded(net))
+    del net
+    runs = []
+    monkeypatch.setattr(near_dedup, "map_batches", lambda df, f, schema: runs.append(f))
+    near_dedup.full_sets(documents(spark), 2)
+    assert left().known
+    list(runs[0]([pa.RecordBatch.from_pydict({"id": [1], "text": ["other words"]})]))
+    assert left() is None
+
+
 def test_distances_of_many_pairs_are_the_plain_ones():
     rng = np.random.default_rng(6)
     pairs = []

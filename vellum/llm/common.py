@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +115,28 @@ class WordHashes:
             return np.array([known[w] for w in words], np.uint64)
 
 
+_KEPT: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task under this name. It keeps one thing: workers go from operator to operator, and
+    what another one left is dropped first, and its memory given back to the system."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        give_back()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def give_back() -> None:
+    """Returns what the allocators hold of freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scatters the bits of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

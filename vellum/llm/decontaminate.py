@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces
+from .common import kept, map_batches, pieces
 
 RATE = 0.05
 #: Benchmark text that one pass over the documents searches for; more text makes more passes.
@@ -147,15 +147,9 @@ class Index:
         return sorted(set(out))
 
 
-_BUILT: dict[str, Index] = {}
-
-
 def built(index: Index) -> Index:
     """The index with its automaton, which a worker builds once, not for each task."""
-    if index.name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[index.name] = index.build()
-    return _BUILT[index.name]
+    return kept(f"index {index.name}", index.build)
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:

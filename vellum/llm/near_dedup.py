@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, list_array, map_batches, mixed, pieces, table, texts_of, windows_hash
+from .common import WordHashes, kept, list_array, map_batches, mixed, pieces, table, texts_of, windows_hash
 from .components import linked
 
 BITS = 1024
@@ -26,7 +26,6 @@ BITS = 1024
 SMALL_SET = 2048
 #: Up to so many repeated ids (8 bytes each) are sent to every executor; beyond, Spark joins by key.
 MOST_BROADCAST_IDS = 1_000_000
-_HASHES = WordHashes()
 
 
 def shingle_set(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
@@ -68,8 +67,9 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, hashes: int, seed
     b = rng.integers(0, 2**32, hashes, dtype=np.int64).astype(np.uint32)
 
     def run(batches):
+        known = kept("hashes", WordHashes)
         for batch in pieces(batches):
-            sets = [shingle_set(t, k, _HASHES) for t in texts_of(batch.column(1))]
+            sets = [shingle_set(t, k, known) for t in texts_of(batch.column(1))]
             some = [i for i, s in enumerate(sets) if len(s)]
             mh = samples([sets[i] for i in some], a, b)
             cut = mh[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
@@ -93,8 +93,9 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     """(id, shingles, small) of each row; small: the distinct first halves of the hashes, of sets of up to SMALL_SET shingles."""
 
     def run(batches):
+        known = kept("hashes", WordHashes)
         for batch in pieces(batches):
-            sets = [shingle_set(t, k, _HASHES) for t in texts_of(batch.column(1))]
+            sets = [shingle_set(t, k, known) for t in texts_of(batch.column(1))]
             small = pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) if len(s) <= SMALL_SET else None for s in sets], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64()), small], ["id", "shingles", "small"])
 
@@ -167,5 +168,5 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataF
         odd = rows.where("doc_id is null").unionByName(rows.join(known, "doc_id", "left_semi").select(*rows.columns))
         odd = table(odd.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top) + 1), "rows")
         rows = rows.where("doc_id is not null").join(known, "doc_id", "left_anti").select(*rows.columns).unionByName(odd)
-    kept = near_duplicates(rows.select("doc_id", "text"), k, percent).where("kept").select("doc_id")
-    return rows.join(kept, "doc_id", "left_semi").select("row.*")
+    stay = near_duplicates(rows.select("doc_id", "text"), k, percent).where("kept").select("doc_id")
+    return rows.join(stay, "doc_id", "left_semi").select("row.*")

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, map_batches, pieces, shared_dir, table
+from .common import give_back, kept, list_array, map_batches, pieces, shared_dir, table
 
 STRIPE_BYTES = 64 << 20
 ROWS_IN_INDEX = 10_000
@@ -112,9 +112,6 @@ class Encoder:
         return lists.values.to_numpy()[bounds[0] : bounds[-1]], np.diff(bounds)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Writes docs (doc_id, text; other columns are ignored) as ORC files at path, in ascending order of doc_id.
 
@@ -125,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     """
 
     def run(batches):
-        encode = _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+        encode = kept(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         first = 0
         for batch in pieces(batches, 2048):
             ids, counts = encode(batch.column(1).cast(pa.string()))
@@ -134,6 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             before = first + np.concatenate([[0], np.cumsum(counts)])
             first = int(before[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before[:-1]), pa.array(counts), list_array(ids, counts, pa.int32())], ["doc_id", "first", "n_tokens", "ids"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
@@ -154,6 +152,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches):
+        kept("digests", lambda: None)  # the encoder is done
         for batch in batches:
             ids = batch.column(2)
             offsets = ids.offsets.to_numpy()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_cnn import sampled
-from .common import crc_mod, map_batches, pieces, texts_of
+from .common import crc_mod, kept, map_batches, pieces, texts_of
 
 WINDOW, STEP, HIDDEN, EMBED = 32, 24, 6, 4
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 15
@@ -288,16 +288,10 @@ class Net:
         return sigmoid(best)
 
 
-_LOADED: dict[str, Net] = {}
-
-
 def loaded(net: Net) -> Net:
     """The same net, with the inputs of words that this worker has met in earlier tasks."""
     key = xxhash.xxh3_128_hexdigest(b"".join(np.ascontiguousarray(net.p[k]).tobytes() for k in sorted(net.p)))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = net
-    return _LOADED[key]
+    return kept(f"net {key}", lambda: net)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2)) -> Net:
