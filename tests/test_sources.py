@@ -85,6 +85,24 @@ def test_streams_fold_records_over_batches(spark, tmp_path):
     assert got == want and got[1, 1] == ((3, 1, 0, False), 4) and got[1, 2][0][3] is False
 
 
+def test_batches_are_folded_without_python(spark, tmp_path):
+    import random
+
+    draw, want = random.Random(4), {}
+    for n in range(4):
+        rows = [{"user_id": draw.choice([1, 2, None]), "k": draw.randrange(12), "ok": draw.choice([True, True, True, False, None]), "prov": draw.choice([True, True, None]), "ts": f"2024-01-01T00:00:{draw.randrange(9):02d}", "event_id": 100 * n + i} for i in range(20)]
+        for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):
+            if r["user_id"] is not None and r["ok"] is not None:
+                record, seen = want.get((r["user_id"], r["k"]), ((0, 0, 0, bool(r["prov"])), 0))
+                want[r["user_id"], r["k"]] = records.folded(record, [r["ok"]]), seen + 1
+        (tmp_path / f"{n}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(tmp_path / f"{n}.json", (1_700_000_000 + 60 * n,) * 2)
+    stream = spark.readStream.schema("user_id long, k long, ok boolean, prov boolean, ts timestamp, event_id long").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}")
+    got = records.caught_up_records(stream)
+    assert {(r.user_id, r.k): ((r.r, r.w, r.s, r.prov), r.n) for r in got.collect()} == want
+    assert "user_id long, k long, r long, w long, s long, prov boolean, n long" == ", ".join(f"{f.name} {f.dataType.typeName()}" for f in got.schema)
+
+
 def test_extra_rows_and_rewritten_json(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("b\tB\nbad\na\tA\n")
     extra = files.extra_rows(spark, f"file://{tmp_path}/x.tsv", ["t", "en"], 95_000)

@@ -97,7 +97,7 @@ def streamed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST01 as a stream over the events, caught up."""
     source = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     reviews = source.select("user_id", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"), (F.col("event_type") != "error").alias("ok"), F.lit(False).alias("prov"), "ts", "event_id")
-    return records.caught_up(records.record_stream(reviews)).select("user_id", "k", "r", "w", "s")
+    return records.caught_up_records(reviews).select("user_id", "k", "r", "w", "s")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
