@@ -41,6 +41,11 @@ def test_means_that_are_a_half_exactly_round_up(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(u, len(items), score) for u, items, score in users]
 
 
+def test_spanned_tokens_shuffles_no_row_for_each_word(spark):
+    plan = catalog.queries()["spanned_tokens"](spark, SF)._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
 def test_entry_without_the_training_operators(spark):
     import __spark_entry__ as entry
 
