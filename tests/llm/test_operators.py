@@ -211,6 +211,40 @@ def test_short_lines_and_lines_of_few_words_have_near_copies(spark):
     assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_banded_distances_are_those_of_whole_columns():
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        p = rng.integers(97, 97 + rng.integers(2, 20), rng.integers(40, 400)).astype(np.uint32)
+        q = np.delete(p, rng.integers(0, len(p), rng.integers(1, 30)))
+        q[rng.integers(0, len(q), rng.integers(0, 40))] = 98
+        p, q = edits.trimmed(p, q)
+        if not len(p):
+            continue
+        want = edits.distance(p, q)
+        assert edits.fewest(p, q) <= want
+        for most in {len(q) - len(p) + 1, len(p) // 8, len(p) // 2}:
+            if len(q) - len(p) <= most < len(p) and most:
+                for got in (edits.band_distance(p, q, most), edits.banded_distances([(p, q)], most)[0]):
+                    assert got == want if want <= most else got > most
+
+
+def test_pairs_that_cannot_hold_are_left_early_and_others_stay():
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(97, 123, 900))) for _ in range(40)]
+    pairs = [(t, texts[(k + 1) % 40] if k % 2 else t[:300] + "#" * (k + 1) + t[340:]) for k, t in enumerate(texts)]
+    assert edits.within(pairs, np.full(40, 90)).tolist() == [edits.distance(edits.letters(a), edits.letters(b)) <= 90 for a, b in pairs]
+
+
+def test_keys_of_lines_are_dealt_packed_and_lose_no_member():
+    rng = np.random.default_rng(8)
+    keys, d1 = (rng.integers(0, (1 << 64) - (1 << 21), 500, dtype=np.uint64) for _ in range(2))
+    rows = [x for k in (0, 1) for x in fuzzy_lines.packed(fuzzy_lines.KEY, fuzzy_lines.key_records(keys, d1 + np.uint64(k << 20)), fuzzy_lines.part_of(keys, 7))]
+    assert sum(x.num_rows for x in rows) == 14
+    (got,) = fuzzy_lines.gathered(iter(rows), fuzzy_lines.KEY)
+    got, whose = fuzzy_lines.shared(*fuzzy_lines.keys_of(got))
+    assert sorted(zip(got.tolist(), whose.tolist())) == sorted((k >> 16 << 16, (d + (j << 20)) >> 16 << 16) for k, d in zip(keys.tolist(), d1.tolist()) for j in (0, 1))
+
+
 def test_mix_meets_its_targets(spark):
     rows = mixing.mixed_documents(documents(spark, "/root/testdata/sf0.01")).collect()
     taken, target, size = Counter(), {}, Counter()
