@@ -4,6 +4,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vellum.llm import byte_cnn, components, decontaminate, edits, fuzzy_lines, mixing, near_dedup, quality_rules, toxicity, unit_dedup
@@ -235,6 +236,41 @@ def test_pairs_that_cannot_hold_are_left_early_and_others_stay():
     assert edits.within(pairs, np.full(40, 90)).tolist() == [edits.distance(edits.letters(a), edits.letters(b)) <= 90 for a, b in pairs]
 
 
+def test_bounds_of_many_pairs_spare_distances_and_lose_no_pair(monkeypatch):
+    rng = np.random.default_rng(9)
+    syllables = ["the", "er", "on", "an", "re", " ", ". ", "à", "中"]
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice(syllables, rng.integers(1, 200)))
+        b = list(a)
+        for at in rng.integers(0, len(a), rng.integers(0, max(1, len(a) // 4) + 1)):
+            b[at] = str(rng.choice(["", "q", "é", b[at] + "x", "\0"]))
+        pairs.append((a, "".join(b)))
+    apart = ["".join(map(chr, rng.integers(97, 123, 400))) for _ in range(600)]
+    far = list(zip(apart[::2], apart[1::2]))
+    want = np.array([levenshtein(a, b) for a, b in pairs])
+    for run in edits.RUNS:
+        assert (edits.fewest_of(pairs, run) <= want).all()
+        assert run == 1 or (edits.fewest_of(far, run) > 40).all()
+    budgets = np.array([max(len(a), len(b)) // 10 for a, b in pairs])
+    assert edits.within(pairs, budgets).tolist() == (want <= budgets).tolist()
+    may, least = edits.possible(pairs + far, np.append(budgets, np.full(300, 40)))
+    assert set(may) >= set(np.flatnonzero(want <= budgets)) and may.max() < 300 and (least <= want[may]).all()
+    for name in ("banded_distances", "block_distances", "distance"):
+        monkeypatch.setattr(edits, name, None)
+    assert not edits.within(far, np.full(300, 40)).any()
+
+
+def test_similar_pairs_of_all_batches_are_found():
+    rng = np.random.default_rng(10)
+    texts = ["".join(map(chr, rng.integers(97, 123, 60))) for _ in range(5000)]
+    near = [t[:30] + "#" * (k % 9) + t[30 + k % 9 :] for k, t in enumerate(texts)]
+    ids = pa.array(np.arange(5000))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(np.arange(5000) + 9000), pa.array(texts), pa.array(near)], ["a", "b", "p", "q"])
+    got = [x for out in fuzzy_lines.similar(iter([batch.slice(0, 100), batch.slice(100)])) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert sorted(got) == [(k, k + 9000) for k in range(5000) if k % 9 <= 6]
+
+
 def test_keys_of_lines_are_dealt_packed_and_lose_no_member():
     rng = np.random.default_rng(8)
     keys, d1 = (rng.integers(0, (1 << 64) - (1 << 21), 500, dtype=np.uint64) for _ in range(2))
