@@ -51,3 +51,35 @@ def test_entry_without_the_training_operators(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def metrics(df, name, kind=""):
+    """Sum of a metric over the steps of a query that has run, of those whose name holds kind."""
+    steps, total = [df._jdf.queryExecution().executedPlan()], 0
+    while steps:
+        step = steps.pop()
+        if step.nodeName() == "AdaptiveSparkPlan":
+            steps.append(step.executedPlan())
+        elif "QueryStage" in step.nodeName():
+            steps.append(step.plan())
+        children = step.children()
+        steps += [children.apply(i) for i in range(children.size())]
+        found = step.metrics().get(name)
+        total += found.get().value() if kind in step.nodeName() and found.isDefined() else 0
+    return total
+
+
+def test_distractors_are_found_without_meeting_all_of_their_class(spark, tmp_path):
+    # Few names and types, so that a part's own bar many of the least; sizes and keys that are null, keys that repeat, and a class of one name.
+    rows = [(i % 2900 if i % 37 else None, f"n{i * i % 7 if i % 5 else 0}" if i % 41 else None, ["A", "B", None][i * 7 % 1000 // 450], "t" + str(i // 50 % 3), i * 13 % 50 if i % 29 else None) for i in range(3000)]
+    rows += [(3000 + i, "same", "C", f"t{i % 4}", i % 9) for i in range(200)]
+    df = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    df.write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["distractor_pool"])
+    got = catalog.queries()["distractor_pool"](spark, str(tmp_path))
+    assert told(got.columns, got.collect()) == told(want.columns, want.fetchall())
+    df.selectExpr("p_partkey * 50 AS p_partkey", "p_name", "'A' AS p_brand", "p_type", "p_size % 2 AS p_size").write.parquet(f"{tmp_path}/asking/part.parquet")
+    got = catalog.queries()["distractor_pool"](spark, f"{tmp_path}/asking")
+    assert len(got.collect()) > 5000 and metrics(got, "numOutputRows", "Join") < 200 * df.count()
