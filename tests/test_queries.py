@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from vellum import catalog
+from vellum.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,25 @@ def test_distractors_are_found_without_meeting_all_of_their_class(spark, tmp_pat
     df.selectExpr("p_partkey * 50 AS p_partkey", "p_name", "'A' AS p_brand", "p_type", "p_size % 2 AS p_size").write.parquet(f"{tmp_path}/asking/part.parquet")
     got = catalog.queries()["distractor_pool"](spark, f"{tmp_path}/asking")
     assert len(got.collect()) > 5000 and metrics(got, "numOutputRows", "Join") < 200 * df.count()
+
+
+@pytest.mark.parametrize("most", [plans.MOST_BROADCAST_HASHES, 1])
+def test_overlapping_spans_are_found_without_a_row_for_each_word(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(plans, "MOST_BROADCAST_HASHES", most)
+    monkeypatch.setattr(plans, "DOCS_AT_ONCE", 16)
+    words = ["Alt", "bach", "Çoban", "dorf", "eis", "Fön", "gut"]
+    texts = [" ".join(words[(i * i + j * j * (i % 5 + 1)) % 7] + (". " if j % 9 == i % 9 else "") for j in range(60)) + (f" rar{i}" if i % 3 else "\n!") for i in range(40)]
+    # One text twice under an id and another three times, a null id, texts that are empty or null.
+    rows = list(enumerate(texts)) + [(3, texts[3]), (7, texts[7]), (7, texts[7]), (None, texts[5]), (50, ""), (51, None), (52, "eis")]
+    df = spark.createDataFrame([(i, t, "de", "web") for i, t in rows], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["span_overlap_violations"])
+    got = catalog.queries()["span_overlap_violations"](spark, str(tmp_path))
+    assert told(got.columns, got.collect()) == told(want.columns, want.fetchall())
+    if most > 1:
+        df = spark.createDataFrame([(i, t, "de", "web") for i, t in enumerate(texts * 20)], df.schema)
+        df.write.parquet(f"{tmp_path}/more/documents.parquet")
+        got = catalog.queries()["span_overlap_violations"](spark, f"{tmp_path}/more")
+        assert len(got.collect()) == 800 and metrics(got, "shuffleRecordsWritten", "Exchange") < 2000
