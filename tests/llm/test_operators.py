@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from vellum.llm import byte_cnn, components, decontaminate, edits, fuzzy_lines, mixing, near_dedup, quality_rules, toxicity, unit_dedup
+from vellum.llm import byte_cnn, common, components, decontaminate, edits, fuzzy_lines, mixing, near_dedup, quality_rules, toxicity, unit_dedup
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [(1, None, None), (2, "", "a"), (3, "one two three four", "a"), (3, "one two three four", "a"), (None, "no id", None), (4, "long " * 30_000, "b"), (5, "\n\n \t\n", "b"), (6, "ONE two three four", "a")]
@@ -204,6 +204,23 @@ def test_fuzzy_lines_are_those_of_edit_similarity_alone(spark):
     assert {(r.doc_id, r.line): (r.first_doc_id, r.first_line) for r in fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_lines_and_pairs_dealt_in_turns_give_the_same_groups(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    lines = [" ".join("".join(chr(c) for c in rng.integers(97, 123, rng.integers(4, 9))) for _ in range(words)) for words in (10, 16, 30, 60) * 3]
+    rows = [(10 * n + k, x) for n, line in enumerate(lines) for k, x in enumerate((line, "qx" + line[2:], line[:-2] + "qx", line + " q"))]
+    docs, shuffled, tables = spark.createDataFrame(rows, "doc_id long, text string"), [], []
+    monkeypatch.setattr(fuzzy_lines, "free_shuffles", lambda *_: None)
+    monkeypatch.setattr(fuzzy_lines, "table", lambda df, label: (tables.append(label), common.table(df, label))[1])
+    for most in (1 << 40, 1 << 15):
+        monkeypatch.setattr(fuzzy_lines, "AT_ONCE", most)
+        monkeypatch.setattr(fuzzy_lines, "SHARE", 0)
+        shuffled.append(sorted(map(tuple, fuzzy_lines.line_groups(docs).collect())))
+        tables.append("end")
+    first, later = tables[: tables.index("end")], tables[tables.index("end") + 1 :]
+    assert shuffled[0] == shuffled[1] and len({r[3] for r in shuffled[0]}) == len(lines)
+    assert first.count("pairs") == 2 and first.count("links") == 2 and later.count("pairs") > 6
+
+
 def test_short_lines_and_lines_of_few_words_have_near_copies(spark):
     few = " ".join(["lorem ipsum"] * 30)
     rows = list(enumerate(["Contents 2019", "contents 2018", "licence", "license", "Terms of the licence", "Terms of the license", "All rights reserved", "All rigths reserved", "Home | About | Help", "Home | Abuot | Help now", few, few.replace("ipsum", "ipsun", 5), "x" * 9, "x" * 8 + "y", "x" * 10, "ÄÖÜ äöü ß", "ÄÖÜ äöü ßa"]))
